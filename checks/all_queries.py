@@ -1,2 +1,2 @@
 """Importing this module registers every query."""
-from checks import q_cleaning  # noqa: F401
+from checks import q_cleaning, q_metrics, q_reliability, q_splits  # noqa: F401

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A plain decimal number with optional exponent.
-NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+NUMBER_PATTERN = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,2})?"
 # Coefficients of the Abramowitz and Stegun 7.1.26 approximation of erf.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -25,8 +25,7 @@ def finite(col: Column | str) -> Column:
 
 def to_number(col: Column | str) -> Column:
     """A double if the text is a plain number, else NULL."""
-    text = F.trim(as_col(col))
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    return F.regexp_extract(as_col(col), rf"^\s*({NUMBER_PATTERN})\s*$", 1).try_cast("double")
 
 
 def parse_censored(col: Column | str) -> Column:
@@ -34,11 +33,11 @@ def parse_censored(col: Column | str) -> Column:
 
     ``flag`` is ``>``, ``<``, ``=`` or ``invalid``; the value of an invalid text is NULL.
     """
-    text = F.trim(F.coalesce(as_col(col), F.lit("")))
-    head = F.substring(text, 1, 1)
-    censored = head.isin(">", "<")
-    value = to_number(F.when(censored, F.substring(text, 2, 1_000_000)).otherwise(text))
-    flag = F.when(value.isNull(), "invalid").when(censored, head).otherwise("=")
+    text = F.coalesce(as_col(col), F.lit(""))
+    pattern = rf"^\s*([<>]?)\s*({NUMBER_PATTERN})\s*$"
+    value = F.regexp_extract(text, pattern, 2).try_cast("double")
+    sign = F.regexp_extract(text, pattern, 1)
+    flag = F.when(value.isNull(), "invalid").when(sign != "", sign).otherwise("=")
     return F.struct(value.alias("value"), flag.alias("flag"))
 
 

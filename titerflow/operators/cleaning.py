@@ -19,7 +19,8 @@ def parse_values(df: DataFrame, raw: str = "raw_value") -> DataFrame:
 def neg_log10_molar(df: DataFrame, col: str, name: str = "p_value") -> DataFrame:
     """``-log10`` of a nanomolar column; non-positive values count as the smallest positive one of the table."""
     molar = F.col(col) / F.lit(1e9)
-    floor = df.where(molar > 0).agg(F.coalesce(F.min(molar), F.lit(SMALLEST_MOLAR)).alias("m")).scalar()
+    smallest = F.coalesce(F.min(F.when(molar > 0, molar)), F.lit(SMALLEST_MOLAR))
+    floor = df.agg(smallest.alias("m")).scalar()
     return df.withColumn(name, -F.log10(F.when(molar <= 0, floor).otherwise(molar)))
 
 
@@ -112,7 +113,8 @@ def collapse(
 ) -> DataFrame:
     """One value per cell: the mean of the replicates, or the first non-missing one in ``order``."""
     if how == "mean":
-        return df.where(F.col(value).isNotNull()).groupBy(entity, target).agg(F.avg(value).alias(value))
+        # filter after the mean: before it, the whole value expression would be evaluated twice per row
+        return df.groupBy(entity, target).agg(F.avg(value).alias(value)).where(F.col(value).isNotNull())
     if not order:
         raise ValueError("how='first' needs an explicit order")
     rank = F.struct(*[F.col(c) for c in order])
