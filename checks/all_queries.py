@@ -1,2 +1,11 @@
 """Importing this module registers every query."""
-from checks import q_cleaning, q_metrics, q_reliability, q_splits  # noqa: F401
+from checks import (  # noqa: F401
+    q_candidates,
+    q_cleaning,
+    q_diagnostics,
+    q_features,
+    q_metrics,
+    q_reliability,
+    q_sources,
+    q_splits,
+)

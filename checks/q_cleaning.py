@@ -196,10 +196,10 @@ filled AS (
   SELECT names.target, ord.stage_no, ord.stage, coalesce(s.n, 0) AS n FROM names CROSS JOIN ord
   LEFT JOIN stages s ON coalesce(s.target, 'TOTAL') = names.target AND s.stage = ord.stage),
 lagged AS (SELECT *, lag(n) OVER (PARTITION BY target ORDER BY stage_no) AS previous FROM filled)
-SELECT target, CAST(stage_no AS BIGINT) AS stage_no, stage, n, CAST(previous AS DOUBLE) AS previous,
+SELECT target, CAST(stage_no AS BIGINT) AS stage_no, stage, n, coalesce(previous, -1) AS previous,
        CASE WHEN previous > 0 THEN round(100.0 * (previous - n) / previous, 6) + 0.0 END AS pct_removed FROM lagged""")
 def _(spark, sf):
-    report = cleaning.attrition_report(_stages(spark, sf), ["raw", "final_only", "late"])
+    report = cleaning.attrition_report(_stages(spark, sf), ["raw", "final_only", "late"]).fillna(-1, ["previous"])
     return shaped(report, "target", "stage", stage_no="int", n="int", previous="int", pct_removed="num")
 
 

@@ -255,12 +255,12 @@ def _(spark, sf):
 
 
 @query("union_parts", T + """
-SELECT model, target, metric, CASE WHEN part = 1 THEN fold END AS fold FROM (
+SELECT model, target, metric, CASE WHEN part = 1 THEN fold ELSE -1 END AS fold FROM (
   SELECT *, 1 AS part FROM metrics WHERE event_id % 2 = 0 UNION ALL SELECT *, 2 FROM metrics WHERE event_id % 3 = 0)""")
 def _(spark, sf):
     m = metrics(spark, sf).select("event_id", "model", "target", "metric", "fold")
     parts = joins.union_all(m.where("event_id % 2 = 0").drop("event_id"), m.where("event_id % 3 = 0").drop("event_id", "fold"))
-    return shaped(parts, "model", "target", "metric", fold="int")
+    return shaped(parts.fillna(-1, ["fold"]), "model", "target", "metric", fold="int")
 
 
 @query("common_ids", """

@@ -62,9 +62,9 @@ def _(spark, sf):
     return shaped(certain(spark, sf), "lang", "entity", "label", p_mean="num", p_std="num")
 
 
-@query("std_prob", P + "," + CONSENSUS + "SELECT lang, entity, round(cons_std_prob, 6) AS cons_std_prob FROM certain")
+@query("std_prob", P + "," + CONSENSUS + "SELECT lang, entity, cons_std_prob FROM certain")
 def _(spark, sf):
-    return shaped(certain(spark, sf), "lang", "entity", cons_std_prob="num")
+    return shaped(certain(spark, sf), "lang", "entity", "cons_std_prob")
 
 
 @query("auc_at_coverage", P + ", lagged AS (SELECT *, round(least(p, 1 - p), 6) AS lag_score FROM scored)," + curve_sql("lagged", "lang", "lag_score", "p", TENS) +
@@ -151,7 +151,7 @@ NOISE = "round(CAST('0x' || substr(md5(concat_ws('|', 'sweep', CAST(entity AS VA
 
 @query("reliability_sweep", with_cte(RESPONSE) + f""",
 preds AS (SELECT entity, target, {NOISE} AS p FROM grid),
-sw AS (SELECT grid.entity, grid.target, c AS cutoff, CAST(value <= c AS INT) AS label, p, round(least(p, 1 - p), 6) AS lag_score
+sw AS (SELECT grid.entity, grid.target, c AS cutoff, CAST(value <= c AS INT) AS label, p, least(p, 1 - p) AS lag_score
        FROM grid JOIN preds USING (entity, target) CROSS JOIN (SELECT unnest([0.0, -0.5, -0.75, -1.0]) AS c)),
 ok AS (SELECT cutoff, target FROM sw GROUP BY ALL HAVING count(*) >= 20 AND sum(label) BETWEEN 1 AND count(*) - 1),
 src AS (SELECT sw.* FROM sw JOIN ok USING (cutoff, target)),""" + curve_sql("src", "cutoff, target", "lag_score", "p", TENS) + """

@@ -155,11 +155,11 @@ c AS (SELECT target, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label
 mi AS (SELECT f.*, pos, neg, row_number() OVER (PARTITION BY f.target ORDER BY {H(42, 'f.target', 'entity')}) - 1 AS i FROM flip f JOIN c ON f.target = c.target WHERE label = 1),
 d AS (SELECT target, pos, unnest(range(0, neg - pos)) AS draw FROM c),
 dd AS (SELECT target, draw, CAST('0x' || substr({H(42, 'target', 'draw')}, 1, 8) AS BIGINT) % pos AS i FROM d)
-SELECT entity, target, label, CAST(NULL AS BIGINT) AS draw FROM flip UNION ALL
+SELECT entity, target, label, CAST(-1 AS BIGINT) AS draw FROM flip UNION ALL
 SELECT entity, mi.target, label, draw FROM dd JOIN mi ON dd.target = mi.target AND dd.i = mi.i""")
 def _(spark, sf):
     flipped = scored(spark, sf).select("entity", "target", (1 - F.col("label")).alias("label"))
-    return X.upsample(flipped).select("entity", "target", "label", "draw")
+    return X.upsample(flipped).fillna(-1, ["draw"]).select("entity", "target", "label", "draw")
 
 
 @query("imbalance_strategies")

@@ -1,12 +1,12 @@
 """Cutoff selection per target: on measured values and on predicted probabilities."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titerflow.functions.columns import binary_label
 from titerflow.operators.joins import attach
-from titerflow.operators.ordering import _keys, group_quantiles, roc_points, value_points
+from titerflow.operators.ordering import _keys, _within, group_quantiles, roc_points, value_points
 
 MIN_VALUES = 10
 
@@ -132,25 +132,24 @@ def f1_cutoff(
     hist = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*by, level.alias("level")).agg(
         F.sum(label).alias("pos"), F.count(F.lit(1)).alias("n")
     )
-    spread = hist.groupBy(*by).agg(
-        F.sum("pos").alias("total_pos"),
-        *[F.sum(F.when(F.col("level") >= i, F.col("pos")).otherwise(0)).alias(f"tp{i}") for i in range(steps)],
-        *[F.sum(F.when(F.col("level") >= i, F.col("n")).otherwise(0)).alias(f"pp{i}") for i in range(steps)],
-    )
-    scored = F.array(
-        *[
-            F.struct(
-                F.when(
-                    F.col(f"pp{i}") + F.col("total_pos") > 0,
-                    2.0 * F.col(f"tp{i}") / (F.col(f"pp{i}") + F.col("total_pos")),
-                ).otherwise(F.lit(0.0)).alias("f1"),
-                F.lit(-i).alias("i"),
-                F.lit(c).alias("threshold"),
-            )
-            for i, c in enumerate(cuts)
-        ]
+    # at most steps + 1 rows per group from here on
+    down = _within(by).orderBy(F.col("level").desc())
+    so_far = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f1 = 2.0 * F.col("tp") / (F.col("pp") + F.col("total_pos"))
+    scored = hist.select(
+        *by,
+        F.sum("pos").over(so_far).alias("tp"),
+        F.sum("n").over(so_far).alias("pp"),
+        F.sum("pos").over(_within(by)).alias("total_pos"),
+        "level",
+        # every cutoff above the next lower level gives the same counts: the lowest of them stands for all
+        (F.coalesce(F.lead("level").over(down), F.lit(-1)) + 1).alias("i"),
+    ).withColumn("f1", F.when(F.col("level") >= 0, f1))
+    best = scored.groupBy(*by).agg(F.max(F.when(F.col("f1") > 0, F.struct("f1", (-F.col("i")).alias("i")))).alias("b"))
+    index = F.coalesce(-F.col("b.i"), F.lit(0))
+    return best.select(
+        *by, (F.lit(lo) + F.lit(width) * index).alias("threshold"), F.coalesce("b.f1", F.lit(0.0)).alias("f1")
     )
-    return spread.select(*by, F.array_max(scored).alias("b")).select(*by, "b.threshold", "b.f1")
 
 
 def operating_point(
