@@ -5,7 +5,9 @@ from checks import (  # noqa: F401
     q_diagnostics,
     q_features,
     q_metrics,
+    q_models,
     q_reliability,
     q_sources,
     q_splits,
+    q_streaming,
 )

@@ -1,10 +1,11 @@
 """Assay-shaped views of the driver tables, once in Spark and once as SQL text."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from titerflow.functions.columns import hash_key, hash_number
+from titerflow.functions.columns import hash_number
+from titerflow.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +68,7 @@ def cells(spark, sf_dir) -> DataFrame:
     from titerflow.operators.cleaning import collapse
 
     means = collapse(molar(spark, sf_dir), value="p_value")
-    return means.select("entity", "target", F.round("p_value", 9).alias("value"))
+    return materialize(means.select("entity", "target", F.round("p_value", 9).alias("value")))
 
 
 # --- response table: standardised price, two source versions, shared structure keys ------------------------
@@ -122,7 +123,7 @@ def response(spark, sf_dir) -> DataFrame:
 def grid(spark, sf_dir) -> DataFrame:
     from titerflow.operators.cleaning import collapse
 
-    return collapse(response(spark, sf_dir), "first", order=["ord", "line", "value", "version"])
+    return materialize(collapse(response(spark, sf_dir), "first", order=["ord", "line", "value", "version"]))
 
 
 # --- predictions: documents with labels, twelve model scores from hashes -----------------------------------
@@ -170,7 +171,7 @@ def scored(spark, sf_dir) -> DataFrame:
 
 BITS = """
 bits AS (
-  SELECT vec_id AS entity, label, list_filter(range(0, 64), i -> embedding[i + 1] > 0) AS bits FROM embeddings
+  SELECT vec_id AS entity, label, list_filter(range(0, 64), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings
 )"""
 
 

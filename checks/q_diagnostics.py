@@ -9,6 +9,7 @@ from titerflow.operators import diagnostics as X
 from titerflow.operators import similarity as S
 from titerflow.operators.metrics import bin_stats
 from titerflow.plans.diagnosis import diagnose_metrics
+from titerflow.session import materialize
 
 T = with_cte(METRICS)
 
@@ -57,21 +58,21 @@ def _(spark, sf):
 
 
 @query("mann_whitney", T + "," + SIZES + """,
-rk AS (SELECT pct BETWEEN 60 AND 66 AS flag, round(m, 3) AS m, rank() OVER (ORDER BY round(m, 3)) + (count(*) OVER (PARTITION BY round(m, 3)) - 1) / 2.0 AS r FROM s)
+rk AS (SELECT pct BETWEEN 88 AND 92 AS flag, round(m, 3) AS m, rank() OVER (ORDER BY round(m, 3)) + (count(*) OVER (PARTITION BY round(m, 3)) - 1) / 2.0 AS r FROM s)
 SELECT count(*) FILTER (flag) AS n1, count(*) FILTER (NOT flag) AS n2,
        sum(r) FILTER (flag) - count(*) FILTER (flag) * (count(*) FILTER (flag) + 1) / 2.0 AS u,
        round(avg(m) FILTER (flag), 6) AS mean1, round(avg(m) FILTER (NOT flag), 6) AS mean2 FROM rk""")
 def _(spark, sf):
-    s = sizes(spark, sf).select(F.col("pct").between(60, 66).alias("flag"), F.round("m", 3).alias("m"))
+    s = sizes(spark, sf).select(F.col("pct").between(88, 92).alias("flag"), F.round("m", 3).alias("m"))
     return shaped(X.mann_whitney(s, "flag", "m"), n1="int", n2="int", u="num", mean1="num", mean2="num")
 
 
 @query("ttest_1samp", T + "," + SIZES + """
-SELECT count(*) AS n, round((avg(m) - 14.5) / (stddev_samp(m) / sqrt(count(*))), 6) AS t, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS std,
-       round(min(m), 6) AS min, round(max(m), 6) AS max, round(avg(CAST(m < 14 AS INT)), 6) AS share_below_1400, round(avg(CAST(m < 15 AS INT)), 6) AS share_below_1500 FROM s""")
+SELECT count(*) AS n, round((avg(m) - 50) / (stddev_samp(m) / sqrt(count(*))), 6) AS t, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS std,
+       round(min(m), 6) AS min, round(max(m), 6) AS max, round(avg(CAST(m < 48 AS INT)), 6) AS share_below_4800, round(avg(CAST(m < 50 AS INT)), 6) AS share_below_5000 FROM s""")
 def _(spark, sf):
-    got = X.ttest_1samp(sizes(spark, sf), "m", 14.5, (14.0, 15.0))
-    return shaped(got, n="int", t="num", mean="num", std="num", min="num", max="num", share_below_1400="num", share_below_1500="num")
+    got = X.ttest_1samp(sizes(spark, sf), "m", 50, (48.0, 50.0))
+    return shaped(got, n="int", t="num", mean="num", std="num", min="num", max="num", share_below_4800="num", share_below_5000="num")
 
 
 R = with_cte(RESPONSE)
@@ -140,7 +141,7 @@ BOTH = with_cte(RESPONSE, BITS) + ", few AS (SELECT grid.* FROM grid JOIN bits U
 
 def _both(spark, sf):
     g, b = grid(spark, sf), bits(spark, sf)
-    pairs = S.sample_pairs(g.join(b.select("entity"), "entity", "left_semi"), 2000)
+    pairs = materialize(S.sample_pairs(g.join(b.select("entity"), "entity", "left_semi"), 2000))
     return S.pair_similarity(pairs, b), X.response_similarity(pairs, g)
 
 

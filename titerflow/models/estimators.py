@@ -31,7 +31,7 @@ from titerflow.functions.columns import clip_probability, link_probability, safe
 from titerflow.models.native import gaussian_nb, knn_probability
 from titerflow.operators.metrics import average_precision, by_side, confusion_metrics, rank_auc
 from titerflow.operators.scaling import imbalance
-from titerflow.session import pin
+from titerflow.session import materialize, pin
 
 CLASSIFIERS = ("rf", "gbt", "logit", "linear_svm")
 NATIVE = ("gaussian_nb", "knn")
@@ -158,20 +158,28 @@ def run_grid(feature_sets: dict[str, DataFrame], models: list[str], splits: dict
     ``feature_sets`` maps a name to ``(target, entity, label, features, v)`` rows and ``splits`` a name to a
     function adding ``side``.
     """
-    out = None
+    keys = ["features", "model", "split_method"]
+    predictions, failures = None, None
     for (fname, rows), (sname, split), model in itertools.product(feature_sets.items(), splits.items(), models):
-        names = {"features": F.lit(fname), "model": F.lit(model), "split_method": F.lit(sname), "imbalance": F.lit(strategy)}
+        names = dict(zip(keys, (F.lit(fname), F.lit(model), F.lit(sname))))
         try:
             extra = {} if model in NATIVE else {"strategy": strategy, **kw}
-            scored = score_rows(split(rows), model, **extra)
-            if scored is None:
+            part = score_rows(split(rows), model, **extra)
+            if part is None:
                 raise ValueError("no target can be trained")
-            part = evaluate(scored).withColumn("error", F.lit(None).cast("string"))
+            part = part.select("target", "entity", "label", "side", "p").withColumns(names)
+            predictions = part if predictions is None else predictions.unionByName(part)
         except Exception as problem:
-            part = rows.sparkSession.range(1).select(F.lit(f"{type(problem).__name__}: {problem}"[:500]).alias("error"))
-        part = part.withColumns(names)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+            text = f"{type(problem).__name__}: {problem}"[:500]
+            part = rows.sparkSession.range(1).select(F.lit(text).alias("error")).withColumns(names)
+            failures = part if failures is None else failures.unionByName(part)
+    out = None
+    if predictions is not None:
+        # one evaluation job over the predictions of every combination
+        out = evaluate(materialize(predictions), (*keys, "target")).withColumn("error", F.lit(None).cast("string"))
+    if failures is not None:
+        out = failures if out is None else out.unionByName(failures, allowMissingColumns=True)
+    return out.withColumn("imbalance", F.lit(strategy))
 
 
 def skipped_targets(rows: DataFrame, min_rows: int = MIN_ROWS, target: str = "target") -> DataFrame:

@@ -159,7 +159,8 @@ def response_similarity(
     known = df.where(F.col(value).isNotNull())
     left = known.select(F.col(entity).alias("a"), target, F.col(value).alias("va"))
     right = known.select(F.col(entity).alias("b"), target, F.col(value).alias("vb"))
-    both = pairs.select("draw", "a", "b").join(left, "a").join(right, ["b", target])
+    wanted = pairs.select("draw", "a", "b")
+    both = wanted.join(left, "a").join(right, ["b", target])
 
     def mean_rank(col):
         tied = F.count(F.lit(1)).over(Window.partitionBy("draw", col))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from titerflow.functions.columns import as_col, finite
-from titerflow.session import pin, shuffle_partitions
+from titerflow.session import materialize, shuffle_partitions
 
 CHUNK = "_chunk"
 
@@ -59,13 +59,13 @@ def running_totals(
     """Add ``cum_<s>`` (up to and including the row) and ``tot_<s>`` (whole group) for each sum.
 
     ``order`` must identify a row within its group.  Pass ``chunk`` when a monotone, data-independent
-    chunk key exists (a hash prefix, say); otherwise the rows are range-partitioned and pinned, because
-    the offsets and the local sums must see the same cuts.
+    chunk key exists (a hash prefix, say); otherwise the rows are range-partitioned and
+    materialized, because the offsets and the local sums must see the same cuts.
     """
     by = _keys(by)
     order = [as_col(o) for o in order]
     if chunk is None:
-        keyed = pin(range_chunks(points, by, order, chunks))
+        keyed = materialize(range_chunks(points, by, order, chunks))
     else:
         keyed = points.withColumn(CHUNK, chunk)
     before = _within(by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -169,7 +169,8 @@ def roc_points(df: DataFrame, by, label: str, score: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, by=None, name: str = "spearman") -> DataFrame:
     """Rank correlation per group, with ``n``.  Works on distinct (x, y) pairs with their counts."""
     by = _keys(by)
-    pairs = (
+    # read once per ranking and once for the sums
+    pairs = materialize(
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*by, x, y)
         .agg(F.count(F.lit(1)).alias("_w"))

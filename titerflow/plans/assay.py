@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from titerflow.operators.cleaning import collapse, neg_log10_molar, parse_values, target_summary
 from titerflow.operators.cutoffs import binarize, youden_cutoff
+from titerflow.session import materialize
 
 
 def measurements_to_cells(df: DataFrame, raw: str = "raw_value", digits: int = 9) -> DataFrame:
@@ -25,5 +26,6 @@ def labelled_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def summarise_assay(df: DataFrame) -> DataFrame:
     """Measurements to one row per target: cutoff, totals, actives, active percentage."""
-    labels, thresholds = labelled_cells(measurements_to_cells(df))
+    # the cutoffs and the labels both read the cells: collapse the replicates once
+    labels, thresholds = labelled_cells(materialize(measurements_to_cells(df)))
     return target_summary(labels).join(thresholds.select("target", "threshold"), "target")

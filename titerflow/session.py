@@ -3,11 +3,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _pinned: list[DataFrame] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def build_session(app: str = "titerflow", master: str | None = None, **conf) -> SparkSession:
@@ -56,17 +58,38 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a table below the checkpoint folder and continue from the files.
+
+    Used where several branches of a plan must see the same rows (or the same partition cuts).  Lineage is
+    cut, a lost executor costs nothing that was written, and the file sizes tell Catalyst what is small
+    enough to broadcast.
+    """
+    spark = df.sparkSession
+    path = temp_table_path(spark, f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def pin(df: DataFrame) -> DataFrame:
-    """Keep ``df`` for several readers of one plan; lost blocks are recomputed from lineage."""
+    """Cache a feature table for iterative training; lost blocks are recomputed from lineage."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     _pinned.append(kept)
     return kept
 
 
 def release() -> None:
-    """Free every frame pinned so far.  Call it after the results that use them are written."""
+    """Drop cached frames and the tables written by ``materialize``.
+
+    Call it after the results that use them are written: frames built on them cannot be read afterwards.
+    """
     while _pinned:
         _pinned.pop().unpersist()
+    while _written:
+        spark, path = _written.pop()
+        location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(location, True)
 
 
 def temp_table_path(spark: SparkSession, name: str) -> str:
