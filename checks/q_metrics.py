@@ -300,6 +300,13 @@ def _(spark, sf):
     return shaped(joins.check_against(got, claim, "target", "got", "claim", 0.0015 + 1e-9, 0.0035 + 1e-9), "target", "got", "claim", "grade", gap="num")
 
 
+@query("expand_grid", P + """
+SELECT target, c AS cutoff, count(*) FILTER (p >= c) AS n_above FROM scored CROSS JOIN (SELECT unnest([0.25, 0.5, 0.75]::DOUBLE[]) AS c) GROUP BY ALL""")
+def _(spark, sf):
+    wide = joins.expand_grid(scored(spark, sf), "cutoff", [0.25, 0.5, 0.75])
+    return wide.groupBy("target", "cutoff").agg(F.count_if(F.col("p") >= F.col("cutoff")).alias("n_above"))
+
+
 @query("missing_outputs", T + """
 SELECT DISTINCT e.target, CAST(p.target IS NOT NULL AS INT) AS present FROM metrics e
 LEFT JOIN (SELECT DISTINCT target FROM metrics WHERE metric > 80) p ON e.target = p.target""")

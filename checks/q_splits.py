@@ -43,6 +43,12 @@ def _(spark, sf):
     return S.random_split(scored(spark, sf), 0.2, 7, by="target", stratify="label").select("entity", "target", "side")
 
 
+@query("repeated_split", " UNION ALL ".join(f"""
+SELECT p_partkey AS entity, {seed} AS seed, CASE WHEN row_number() OVER (ORDER BY {H(seed, 'p_partkey')}) <= ceil(0.2 * count(*) OVER ()) THEN 'test' ELSE 'train' END AS side FROM part""" for seed in (1, 2, 3)))
+def _(spark, sf):
+    return S.repeated_split(table(spark, sf, "part").select(F.col("p_partkey").alias("entity")), [1, 2, 3])
+
+
 GROUPED = """
 sizes AS (SELECT p_brand AS g, count(*) AS size FROM part GROUP BY 1),
 run AS (SELECT g, size, sum(size) OVER (ORDER BY size DESC, g) - size AS before, sum(size) OVER () AS total FROM sizes),

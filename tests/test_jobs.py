@@ -69,3 +69,24 @@ def test_stream_cap_equals_batch(spark):
         F.count_if((F.col("score") >= 0.4) & (F.col("capped_score") == 0)).alias("o"),
     )
     assert got == {r["event_type"]: (r["n"], r["a"], r["o"]) for r in batch.collect()}
+
+
+def test_youden_evaluation_sides(spark):
+    from titerflow.models.estimators import evaluate
+
+    rows = [("t", i, i % 2, "train" if i < 40 else "test", 0.3 + 0.2 * (i % 2) + (i % 7) / 100) for i in range(60)]
+    scored = spark.createDataFrame(rows, "target string, entity int, label int, side string, p double")
+    for side in ("train", "test"):
+        got = {r["split"]: r for r in evaluate(scored, cutoff="youden", threshold_on=side).collect()}
+        assert got["Train_Train"]["accuracy"] == got["Train_Test"]["accuracy"] == 1.0
+        assert got["Train_Test"]["auc"] == got["Train_Test"]["auprc"] == 1.0
+
+
+def test_grid_reports_untrainable_targets(spark):
+    from titerflow.models.estimators import dense_vectors, run_grid
+
+    rows = [("ok", i, [float(i % 2), 1.0], i % 2) for i in range(30)] + [("one", i, [0.0, 1.0], 1) for i in range(30)]
+    data = dense_vectors(spark.createDataFrame(rows, "target string, entity int, v array<double>, label int"))
+    side = F.when(F.col("entity") % 5 == 0, "test").otherwise("train")
+    got = run_grid({"v": data}, ["gaussian_nb"], {"fixed": lambda df: df.withColumn("side", side)}).collect()
+    assert {(r["target"], r["auc"] is None) for r in got} == {("ok", False), ("one", True)}

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from titerflow.functions.columns import clip_probability, link_probability, safe_id
 from titerflow.models.native import gaussian_nb, knn_probability
 from titerflow.operators.metrics import average_precision, by_side, confusion_metrics, rank_auc
+from titerflow.operators.cutoffs import youden_probability
+from titerflow.operators.joins import attach
 from titerflow.operators.scaling import imbalance
 from titerflow.session import materialize, pin
 
@@ -141,18 +143,29 @@ def score_rows(rows: DataFrame, model: str, **kw) -> DataFrame | None:
     return fit_targets(rows, model, **kw)[1]
 
 
-def evaluate(scored: DataFrame, by=("target",), cutoff: float = 0.5) -> DataFrame:
-    """All classification metrics per group and side."""
+def evaluate(scored: DataFrame, by=("target",), cutoff: float | str = 0.5, threshold_on: str = "test") -> DataFrame:
+    """All classification metrics per group and side, at a fixed cutoff or at each group's Youden cutoff.
+
+    ``threshold_on`` names the side the Youden cutoff is chosen on.  Choosing it on the test side scores a
+    cutoff on the rows that picked it; ``"train"`` avoids that.
+    """
     keys = [*by]
-    voted = scored.withColumn("predicted", (F.col("p") >= cutoff).cast("int"))
-    counts = by_side(voted, keys, confusion_metrics)
+    if cutoff == "youden":
+        cut = youden_probability(scored.where(F.col("side") == threshold_on), keys, "label", "p", "clipped")
+        judged = attach(scored, cut.select(*keys, "threshold"), keys, "left", spread=["entity"])
+        judged = judged.fillna(0.5, ["threshold"])
+    else:
+        judged = scored.withColumn("threshold", F.lit(float(cutoff)))
+    voted = judged.withColumn("predicted", (F.col("p") >= F.col("threshold")).cast("int"))
+    counts = by_side(voted, [*keys, "threshold"], confusion_metrics)
     auc = by_side(scored, keys, lambda df, k: rank_auc(df, k, "label", "p").select(*k, "auc"))
     auprc = by_side(scored, keys, lambda df, k: average_precision(df, k, "label", "p"))
     on = [*keys, "split"]
-    return counts.join(auc, on, "left").join(auprc, on, "left").withColumn("threshold", F.lit(cutoff))
+    return counts.join(auc, on, "left").join(auprc, on, "left")
 
 
-def run_grid(feature_sets: dict[str, DataFrame], models: list[str], splits: dict, strategy: str = "none", **kw) -> DataFrame:
+def run_grid(feature_sets: dict[str, DataFrame], models: list[str], splits: dict, strategy: str = "none", cutoff: float | str = 0.5, threshold_on: str = "test",
+             **kw) -> DataFrame:
     """Features x models x splits; one combination that fails yields one row with its ``error``.
 
     ``feature_sets`` maps a name to ``(target, entity, label, features, v)`` rows and ``splits`` a name to a
@@ -176,7 +189,13 @@ def run_grid(feature_sets: dict[str, DataFrame], models: list[str], splits: dict
     out = None
     if predictions is not None:
         # one evaluation job over the predictions of every combination
-        out = evaluate(materialize(predictions), (*keys, "target")).withColumn("error", F.lit(None).cast("string"))
+        out = evaluate(materialize(predictions), (*keys, "target"), cutoff, threshold_on).withColumn("error", F.lit(None).cast("string"))
+        # a target that cannot be trained still gets a row, with NULL metrics
+        for (fname, rows), (sname, split) in itertools.product(feature_sets.items(), splits.items()):
+            skipped = skipped_targets(split(rows)).withColumns(
+                {"features": F.lit(fname), "split_method": F.lit(sname), "model": F.explode(F.array(*map(F.lit, models)))}
+            )
+            out = out.unionByName(skipped, allowMissingColumns=True)
     if failures is not None:
         out = failures if out is None else out.unionByName(failures, allowMissingColumns=True)
     return out.withColumn("imbalance", F.lit(strategy))

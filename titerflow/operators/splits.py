@@ -53,6 +53,15 @@ def random_split(
     return out.drop("_h", "_rank", "_size", "_smallest", "_stratum")
 
 
+def repeated_split(df: DataFrame, seeds: list[int], **kw) -> DataFrame:
+    """One random split per seed, stacked with a ``seed`` column."""
+    out = None
+    for seed in seeds:
+        part = random_split(df, seed=seed, **kw).withColumn("seed", F.lit(seed))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def kfold(df: DataFrame, k: int = 5, seed: int = 42, entity: str = "entity", by=None) -> DataFrame:
     """Add ``fold`` 1..k over the hash order; fold sizes differ by at most one, larger folds first."""
     by = _keys(by)

@@ -72,6 +72,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows over the cores when the input has fewer splits than cores, by the hash of ``keys``.
+
+    A few large row groups would otherwise keep all expression work in a few tasks.  A large input has more
+    splits than cores and is returned as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cache a feature table for iterative training; lost blocks are recomputed from lineage."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
