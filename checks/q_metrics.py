@@ -91,7 +91,7 @@ def _(spark, sf):
 
 @query("cutoff_summary", P + "," + OPERATING + """
 SELECT count(*) AS n_targets, round(avg(threshold), 6) AS mean_threshold, round(stddev_samp(threshold), 6) AS std_threshold,
-       round(min(threshold), 6) AS min_threshold, round(max(threshold), 6) AS max_threshold, CAST(sum(is_conservative) AS BIGINT) AS n_conservative,
+       round(min(threshold), 6) AS min_threshold, round(max(threshold), 6) AS max_threshold, count(*) FILTER (is_conservative = 1) AS n_conservative,
        round(avg(sensitivity_at), 6) AS mean_sensitivity, round(avg(specificity_at), 6) AS mean_specificity, round(avg(npv_at), 6) AS mean_npv FROM opj""")
 def _(spark, sf):
     got = cutoffs.cutoff_summary(cutoffs.operating_point(scored(spark, sf), "target", "label", "p", 0.3, 15))

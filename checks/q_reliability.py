@@ -114,7 +114,7 @@ def _(spark, sf):
 
 @query("coverage_gain", P + "," + CONSENSUS + "," + UNPIVOTED + "," + curve_sql("threes", "lang, score", "certainty", "p_mean", TENS) + """,
 tab AS (SELECT coverage, avg(auc) AS mean_auc FROM curve WHERE score = 'cons_std' GROUP BY coverage)
-SELECT (SELECT coverage FROM tab ORDER BY mean_auc DESC, coverage LIMIT 1) AS best_coverage, round(max(mean_auc), 6) AS best_auc,
+SELECT (SELECT coverage FROM tab ORDER BY round(mean_auc, 12) DESC NULLS LAST, coverage LIMIT 1) AS best_coverage, round(max(mean_auc), 6) AS best_auc,
        round(max(mean_auc) FILTER (coverage = 100), 6) AS baseline_auc, round(max(mean_auc) - max(mean_auc) FILTER (coverage = 100), 6) AS max_gain FROM tab""")
 def _(spark, sf):
     curves = D.certainty_curves(certain(spark, sf), "lang")

@@ -324,3 +324,9 @@ def test_melt_drops_text_and_nan(spark):
 def test_f1_cutoff_all_negative(spark):
     df = frame(spark, [("t", 0, 0.2)] * 3 + [("u", 1, 0.05)] * 2, "target string, label int, p double")
     assert by_key(cutoffs.f1_cutoff(df, "target", "label", "p"), "target", "threshold") == {"t": 0.1, "u": 0.1}
+
+
+def test_best_coverage_ignores_levels_without_a_mean(spark):
+    table = frame(spark, [(10, None, 0), (50, 0.7, 2), (60, 0.7, 3), (100, 0.6, 3)], "coverage int, mean_auc double, n_valid int")
+    row = D.best_coverage(table).first()
+    assert (row["best_coverage"], row["best_auc"], row["baseline_auc"]) == (50, 0.7, 0.6)

@@ -184,7 +184,7 @@ def cutoff_summary(points: DataFrame) -> DataFrame:
         F.stddev_samp("threshold").alias("std_threshold"),
         F.min("threshold").alias("min_threshold"),
         F.max("threshold").alias("max_threshold"),
-        F.sum("is_conservative").alias("n_conservative"),
+        F.count_if(F.col("is_conservative") == 1).alias("n_conservative"),
         F.avg("sensitivity_at").alias("mean_sensitivity"),
         F.avg("specificity_at").alias("mean_specificity"),
         F.avg("npv_at").alias("mean_npv"),

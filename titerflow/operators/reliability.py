@@ -130,10 +130,16 @@ def coverage_table(curves: DataFrame, by=None, coverage: str = "coverage", auc:
 
 
 def best_coverage(table: DataFrame, by=None, coverage: str = "coverage") -> DataFrame:
-    """Best level (the lowest wins ties), its mean AUC, the full-coverage baseline and the gain."""
+    """Best level (the lowest wins ties), its mean AUC, the full-coverage baseline and the gain.
+
+    Means that agree to twelve digits count as tied: the last bits depend on the order of summation.
+    """
     by = _keys(by)
     out = table.groupBy(*by).agg(
-        F.min_by(coverage, F.struct(-F.col("mean_auc"), F.col(coverage))).alias("best_coverage"),
+        # a level without any valid target has no mean and cannot be the best
+        F.min_by(coverage, F.when(F.col("mean_auc").isNotNull(), F.struct(-F.round("mean_auc", 12), F.col(coverage)))).alias(
+            "best_coverage"
+        ),
         F.max("mean_auc").alias("best_auc"),
         F.max(F.when(F.col(coverage) == 100, F.col("mean_auc"))).alias("baseline_auc"),
     )
