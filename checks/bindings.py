@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerflow.functions.columns import hash_number
-from titerflow.session import materialize, spread
+from titerflow.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,6 @@ def assay(spark, sf_dir) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_discount", "l_extendedprice", "l_linestatus"
     )
-    items = spread(items, "l_orderkey", "l_linenumber")
     nations = (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -104,7 +103,7 @@ def response(spark, sf_dir) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select(
         "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", "l_linestatus"
     )
-    priced = spread(items, "l_orderkey", "l_linenumber").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+    priced = items.join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
     moments = priced.groupBy("target").agg(
         F.avg("l_extendedprice").alias("m"), F.stddev_samp("l_extendedprice").alias("s")
     )

@@ -330,3 +330,10 @@ def test_best_coverage_ignores_levels_without_a_mean(spark):
     table = frame(spark, [(10, None, 0), (50, 0.7, 2), (60, 0.7, 3), (100, 0.6, 3)], "coverage int, mean_auc double, n_valid int")
     row = D.best_coverage(table).first()
     assert (row["best_coverage"], row["best_auc"], row["baseline_auc"]) == (50, 0.7, 0.6)
+
+
+def test_similarity_split_switches_to_kmeans(spark):
+    rows, df = bit_frame(spark)
+    out = similarity.similarity_split(df, limit=10, size=64)
+    audit = splits.split_audit(out, "cluster").first()
+    assert out.count() == len(rows) and audit["n_groups"] == 2 and audit["n_leaking"] == 0

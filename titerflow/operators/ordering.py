@@ -10,6 +10,7 @@ map-side), cut into chunks that are contiguous in the sort order:
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -94,8 +95,12 @@ def row_numbers(df: DataFrame, by, order, name: str = "rank", size: str | None =
     return out.drop("_one", "cum__one", "tot__one")
 
 
-def hash_rank(df: DataFrame, by, key: str, name: str = "rank", size: str | None = None, digits: int = 2) -> DataFrame:
-    """``row_number`` in the order of a hex hash column; its leading digits are the chunks."""
+def hash_rank(df: DataFrame, by, key: str, name: str = "rank", size: str | None = None, digits: int | None = None) -> DataFrame:
+    """``row_number`` in the order of a hex hash column; its leading digits are the chunks.
+
+    By default there are at least as many chunks as shuffle partitions, so a hot group fills the cluster.
+    """
+    digits = digits or max(2, math.ceil(math.log(shuffle_partitions(df.sparkSession), 16)))
     return row_numbers(df, by, [key], name, size, chunk=F.substring(key, 1, digits))
 
 
