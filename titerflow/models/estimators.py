@@ -19,9 +19,8 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, CountVectorizerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
@@ -45,14 +44,10 @@ def dense_vectors(df: DataFrame, col: str = "v", name: str = "features") -> Data
 
 
 def sparse_vectors(df: DataFrame, bits: str = "bits", size: int = 2048, name: str = "features") -> DataFrame:
-    """On-bit indices as a sparse vector."""
-    import pandas as pd
-
-    @F.pandas_udf(VectorUDT())
-    def build(col: pd.Series) -> pd.Series:
-        return pd.Series([SparseVector(size, sorted({int(i) for i in on}), [1.0] * len(set(on))) for on in col])
-
-    return df.withColumn(name, build(F.col(bits)))
+    """On-bit indices ``0 .. size - 1`` as a sparse vector, built in the JVM from a fixed vocabulary."""
+    words = df.withColumn("_words", F.col(bits).cast("array<string>"))
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], inputCol="_words", outputCol=name)
+    return model.setBinary(True).transform(words).drop("_words")
 
 
 def make_estimator(model: str, n_rows: float = 1.0, seed: int = 42, c: float = 1.0, **params):
