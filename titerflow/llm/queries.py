@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerflow.llm.common import table
+from titerflow.llm.mixing import mixture
 from titerflow.llm.neardup import near_duplicates
 from titerflow.llm.repeats import remove_repeats
+from titerflow.llm.tokens import tokenized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,3 +30,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"), window=20)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shares, _ = mixture(table(spark, sf_dir, "documents"), weights=(5, 2, 1), limit=3)
+    return shares.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def word_tokenizer() -> str:
+    """The public vocabulary file that the token queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = tokenized(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
+    return done.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
