@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerflow.llm.common import table
+from titerflow.llm.contamination import contaminated
 from titerflow.llm.mixing import mixture
 from titerflow.llm.neardup import near_duplicates
+from titerflow.llm.quality import quality_scores
 from titerflow.llm.repeats import remove_repeats
 from titerflow.llm.tokens import tokenized
 
@@ -49,3 +51,15 @@ def word_tokenizer() -> str:
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = tokenized(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=1)
     return done.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, percent=80)
+    return pairs.drop("sub")
