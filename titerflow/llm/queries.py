@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from titerflow.llm.common import table
 from titerflow.llm.contamination import contaminated
+from titerflow.llm.language import language_id
+from titerflow.llm.licences import licence_scan
 from titerflow.llm.mixing import mixture
 from titerflow.llm.neardup import near_duplicates
 from titerflow.llm.quality import quality_scores
@@ -63,3 +65,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, percent=80)
     return pairs.drop("sub")
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan(table(spark, sf_dir, "documents")).drop("places")
