@@ -12,6 +12,7 @@ from titerflow.llm.language import language_id
 from titerflow.llm.licences import licence_scan
 from titerflow.llm.mixing import mixture
 from titerflow.llm.neardup import near_duplicates
+from titerflow.llm.neighbours import nearest
 from titerflow.llm.quality import quality_scores
 from titerflow.llm.repeats import remove_repeats
 from titerflow.llm.tokens import tokenized
@@ -75,3 +76,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan(table(spark, sf_dir, "documents")).drop("places")
+
+
+@query
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
