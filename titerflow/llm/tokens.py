@@ -155,7 +155,7 @@ def write_tokens(
                 [pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "seq", "start", "n_ids", "n_docs", "image"]
             )
 
-        for batch in in_slices(batches):
+        for batch in in_slices(batches, 1024):
             part = batch.column(2)[0].as_py()
             ids, sizes = words.encode([t.tobytes() for t in views(batch.column(1))])
             at = 0
@@ -184,7 +184,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for part, n in totals:
         base.append((part, at))
         at += n
-    placed = files.join(spark.createDataFrame(base, "part int, base bigint"), "part").select(
+    bases = F.broadcast(spark.createDataFrame(base, "part int, base bigint"))  # a row per partition of the writer
+    placed = files.join(bases, "part").select(
         (F.col("base") + F.col("start")).alias("start"), "image"
     )
 
@@ -197,12 +198,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 for at in range(0, len(ends), 4096):
                     stops = ends[at : at + 4096]
                     begins = stops - image.counts[at : at + 4096]
+                    ids = image.read(int(begins[0]), int(stops[-1]))
+                    cuts = zip((begins - begins[0]).tolist(), (stops - begins[0]).tolist())
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(image.doc_ids[at : at + 4096], pa.int64()),
                             pa.array(first + begins),
                             pa.array(stops - begins),
-                            pa.array([image.read(a, b).tobytes() for a, b in zip(begins.tolist(), stops.tolist())], pa.binary()),
+                            pa.array([ids[a:b].tobytes() for a, b in cuts], pa.binary()),
                         ],
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
