@@ -13,6 +13,8 @@ from titerflow.llm.words import shingle_set
 #: With similarity 0.85 a pair shares no band with probability (1 - 0.85**5)**32 < 1e-8.
 BANDS, ROWS = 32, 5
 SIGNATURE_SLACK = 0.2
+#: Members of a bucket that are still compared by a plain join, and shingles of one block of a larger one.
+FEW, BLOCK = 24, 500_000
 
 
 def _hash_parameters(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +97,69 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, p
     )
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """All pairs across components of small buckets, those within the rest of a bucket once."""
+    left = rows.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), "main")
+    right = rows.where("c != main").select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
+    return (
+        left.join(right, "bucket")
+        .where((F.col("ca") != F.col("cb")) & ((F.col("ca") == F.col("main")) | (F.col("a") < F.col("b"))))
+        .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    )
+
+
+def _many(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links across components of large buckets, the closest one per member and component it meets.
+
+    A bucket is dealt out in blocks of bounded total set size: members outside the largest component against
+    all.  Overlaps are counted inside a task, so unlinked pairs never become rows.
+    """
+    ids = rows.select("id").distinct()
+    sets = written(shingle_sets(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), words))
+    full = rows.join(sets, "id")
+    lefts, rights = F.ceil(F.col("words") / BLOCK).cast("int"), F.ceil(F.col("other_words") / BLOCK).cast("int")
+    deal = F.xxhash64("id")
+    left = full.withColumn("p", F.pmod(deal, lefts)).withColumn("q", F.explode(F.sequence(F.lit(0), rights - 1)))
+    right = full.where("c != main").withColumn("p", F.explode(F.sequence(F.lit(0), lefts - 1))).withColumn("q", F.pmod(deal, rights))
+    columns = [F.col("bucket"), F.col("p").cast("long").alias("p"), F.col("q").cast("long").alias("q"), F.col("id"), F.col("c"), F.col("shingles")]
+    left, right = left.select(*columns), right.select(*[c.alias("r_" + n) for c, n in zip(columns, ("bucket", "p", "q", "id", "c", "shingles"))])
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        u, v = [], []
+        if a.num_rows and b.num_rows:
+            flat_b, size_b = _flat(b["r_shingles"])
+            order = np.argsort(flat_b, kind="stable")
+            owner = np.repeat(np.arange(len(size_b)), size_b)[order]
+            known, first = np.unique(flat_b[order], return_index=True)
+            often = np.diff(np.append(first, len(flat_b)))
+            id_b, c_b = b["r_id"].to_numpy(), b["r_c"].to_numpy()
+            flat_a, size_a = _flat(a["shingles"])
+            at = np.concatenate([[0], np.cumsum(size_a)])
+            for i, (name, c) in enumerate(zip(a["id"].to_pylist(), a["c"].to_pylist())):
+                own = flat_a[at[i] : at[i + 1]]
+                where = np.searchsorted(known, own)
+                where = where[known[np.minimum(where, len(known) - 1)] == own]
+                n = often[where]
+                hit = owner[np.repeat(first[where] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                shared = np.bincount(hit, minlength=len(id_b))
+                union = len(own) + size_b - shared
+                good = np.flatnonzero((100 * shared >= percent * union) & (c_b != c))
+                good = good[np.argsort(-shared[good] / union[good], kind="stable")]
+                good = good[np.unique(c_b[good], return_index=True)[1]]
+                u += np.minimum(id_b[good], name).tolist()
+                v += np.maximum(id_b[good], name).tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    found = left.groupBy("bucket", "p", "q").cogroup(right.groupBy("r_bucket", "r_p", "r_q")).applyInArrow(compare, "u bigint, v bigint")
+    return written(found.distinct())
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column and the length of each list."""
+    lists = column.combine_chunks()
+    return np.asarray(lists.flatten()), np.diff(np.asarray(lists.offsets))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
     bands: int = BANDS, rows: int = ROWS,
@@ -106,9 +171,9 @@ def near_duplicates(
     document is that one.
 
     * Texts with equal sets collapse to one representative before anything is compared.
-    * In each band bucket every member is compared with one leader, which differs from band to band; only
-      members of buckets that still hold several components are then compared with each other, those of the
-      bucket's largest component only with the others.  Pairs within one component are never made.
+    * In each band bucket every member is compared with one leader, which differs from band to band.  Only in
+      buckets that still hold several components are members then compared across components, those of
+      the largest one only with the others; large buckets in blocks that give links, not pairs.
     * Signatures rule pairs out (six standard deviations below the bound), full sets confirm each link.
 
     Null or empty texts have an empty set: alone in their component.  Rows that share an id are one node of
@@ -140,28 +205,25 @@ def near_duplicates(
     found = written(connected_components(links))
     # Buckets in which several components meet: compare across components only.
     placed = written(
-        members.join(found.withColumnRenamed("node", "id"), "id", "left").select(
-            "bucket", "id", F.coalesce("component", "id").alias("c")
-        )
+        members.join(found.withColumnRenamed("node", "id"), "id", "left")
+        .join(reps.select("id", "n_shingles"), "id")
+        .select("bucket", "id", F.coalesce("component", "id").alias("c"), F.col("n_shingles").alias("size"))
     )
-    sizes = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        sizes.groupBy("bucket")
-        .agg(F.max(F.struct("n", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
+    parts = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    mixed = written(
+        parts.groupBy("bucket")
+        .agg(
+            F.max(F.struct("n", "c", "words")).alias("top"), F.count(F.lit(1)).alias("parts"),
+            F.sum("n").alias("n"), F.sum("words").alias("words"),
+        )
         .where("parts > 1")
-        .select("bucket", F.col("top.c").alias("main"))
+        .select("bucket", F.col("top.c").alias("main"), "n", "words", (F.col("words") - F.col("top.words")).alias("other_words"))
     )
     open_rows = written(placed.join(mixed, "bucket"))
-    left = open_rows.select("bucket", F.col("id").alias("a"), F.col("c").alias("ca"), "main")
-    right = open_rows.where("c != main").select("bucket", F.col("id").alias("b"), F.col("c").alias("cb"))
-    across = (
-        left.join(right, "bucket")
-        .where((F.col("ca") != F.col("cb")) & ((F.col("ca") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        .distinct()
-        .join(first, ["u", "v"], "left_anti")
+    across = _few(open_rows.where(F.col("n") <= FEW)).unionByName(
+        _many(open_rows.where(F.col("n") > FEW), texts, words, percent)
     )
-    more = _verified(across, reps, texts, words, percent, k)
+    more = _verified(across.distinct(), reps, texts, words, percent, k)
     component = written(connected_components(links.unionByName(more)))
     classes = reps.select("n_shingles", "d1", "d2", F.col("id").alias("rep")).join(
         component.withColumnRenamed("node", "rep"), "rep", "left"
