@@ -6,6 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from titerflow.llm.chat import prefix_tree, read_back
 from titerflow.llm.common import table
 from titerflow.llm.contamination import contaminated
 from titerflow.llm.language import language_id
@@ -81,3 +82,23 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+@query
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
+    own = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], kinds)
+    segments, _, conversations = prefix_tree(rows.unionByName(own))
+    back = read_back(segments, conversations)
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length(loss).cast("bigint").alias("loss_chars"),
+        F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
