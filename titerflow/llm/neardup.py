@@ -176,9 +176,9 @@ def near_duplicates(
       the largest one only with the others; large buckets in blocks that give links, not pairs.
     * Signatures rule pairs out (six standard deviations below the bound), full sets confirm each link.
 
-    Null or empty texts have an empty set: alone in their component.  Rows that share an id are one node of
-    the graph only through the sets of their texts; a row without an id is never linked, gets a null
-    component and stays.  Extra columns are ignored, so their names may clash.
+    Null or empty texts have an empty set: alone in their component.  Rows that share an id are one document:
+    its links are those of all its texts.  A row without an id is never linked, gets a null component and
+    stays.  Extra columns are ignored, so their names may clash.
     """
     sig = written(signatures(docs, id_col, text_col, words, bands, rows))
     full = sig.where("n_shingles > 0 and id is not null")
@@ -249,8 +249,9 @@ def _repeated_ids(docs, id_col, text_col, words, percent, bands, rows) -> DataFr
     """Ids that stand for several different texts: number the different (id, text) pairs, solve, translate back."""
     from titerflow.operators.ordering import row_numbers
 
-    source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pairs = source.where("id is not null").groupBy("id", "text").count()
+    named = docs.where(F.col(id_col).isNotNull())
+    source = named.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    pairs = source.groupBy("id", "text").count()
     numbered = written(row_numbers(pairs, None, ["id", "text"], "node").select("id", "text", F.col("node").cast("bigint")))
     solved = near_duplicates(numbered, "node", "text", words, percent, bands, rows)
     solved = written(solved.join(numbered.select(F.col("node").alias("doc_id"), "id"), "doc_id"))
@@ -265,9 +266,5 @@ def _repeated_ids(docs, id_col, text_col, words, percent, bands, rows) -> DataFr
     lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
     final = named.drop("component_id").join(lowest, "component").select(F.col("doc_id").alias("node"), "n_shingles", "component_id")
     joined = source.join(numbered, ["id", "text"], "left").join(final, "node", "left")
-    return joined.select(
-        F.col("id").alias("doc_id"),
-        F.coalesce("n_shingles", F.lit(0)).cast("bigint").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
-        F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
-    )
+    done = joined.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    return done.unionByName(near_duplicates(docs.where(F.col(id_col).isNull()), id_col, text_col, words, percent, bands, rows))
