@@ -107,7 +107,7 @@ def response(spark, sf_dir) -> DataFrame:
     moments = priced.groupBy("target").agg(
         F.avg("l_extendedprice").alias("m"), F.stddev_samp("l_extendedprice").alias("s")
     )
-    scored = attach(priced, moments, "target", "inner", spread=["l_orderkey"])
+    scored = attach(priced, moments, "target", "inner")
     parts = table(spark, sf_dir, "part").select(
         "p_partkey", F.concat_ws("|", "p_type", "p_brand", F.col("p_size").cast("string")).alias("skey")
     )
@@ -135,7 +135,7 @@ MODELS = 12
 
 PREDICTIONS = f"""
 base AS (
-  SELECT documents.doc_id AS entity, source AS target, lang, quality AS label, least(n_chars, 4000) / 4000.0 AS size_part
+  SELECT documents.doc_id AS entity, source AS target, lang, quality AS label, n_chars / (n_chars + 4000.0) AS size_part
   FROM documents JOIN labels USING (doc_id)
 ),
 scores AS (
@@ -147,15 +147,15 @@ scores AS (
 scored AS (SELECT entity, target, lang, label, round(p, 2) AS p FROM scores WHERE model = 0)"""
 
 
-def model_scores(spark, sf_dir) -> DataFrame:
+def model_scores(spark, sf_dir, models: int = MODELS) -> DataFrame:
     """Long ``(entity, target, lang, label, model, p)`` with four-decimal scores."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id")
     noise = hash_number(F.md5(F.concat_ws("|", F.concat(F.lit("m"), F.col("model")), F.col("doc_id")))) / F.lit(
         4294967296.0
     )
-    size_part = F.least(F.col("n_chars"), F.lit(4000)) / F.lit(4000.0)
-    return docs.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(MODELS - 1)))).select(
+    size_part = F.col("n_chars") / (F.col("n_chars") + F.lit(4000.0))
+    return docs.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(models - 1)))).select(
         F.col("doc_id").alias("entity"),
         F.col("source").alias("target"),
         "lang",
@@ -167,7 +167,7 @@ def model_scores(spark, sf_dir) -> DataFrame:
 
 def scored(spark, sf_dir) -> DataFrame:
     """One model, two-decimal scores with many ties."""
-    return model_scores(spark, sf_dir).where("model = 0").withColumn("p", F.round("p", 2)).drop("model")
+    return model_scores(spark, sf_dir, 1).withColumn("p", F.round("p", 2)).drop("model")
 
 
 # --- bits: sign bits of the embeddings ----------------------------------------------------------------------

@@ -71,7 +71,7 @@ def _(spark, sf):
 SELECT doc_id, md5(text) AS head FROM documents""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    mapped = joins.map_distinct(docs, "text", F.md5, "head", spread=["doc_id"])
+    mapped = joins.map_distinct(docs, "text", F.md5, "head")
     return mapped.select("doc_id", "head")
 
 

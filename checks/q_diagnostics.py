@@ -98,7 +98,7 @@ def _(spark, sf):
 
 def draw_sql(ids: str, n: int) -> str:
     def pick(tag):
-        return f"CAST('0x' || substr(md5(concat_ws('|', '42', '{tag}', CAST(d AS VARCHAR))), 1, 8) AS BIGINT) % n"
+        return f"CAST('0x' || substr(md5(concat_ws('|', '42', '{tag}', CAST(d AS VARCHAR))), 1, 15) AS BIGINT) % n"
 
     return f"""
 codes AS (SELECT entity, row_number() OVER (ORDER BY entity) - 1 AS code FROM (SELECT DISTINCT entity FROM {ids})),
@@ -130,18 +130,18 @@ def _(spark, sf):
     return shaped(S.pair_similarity(S.sample_pairs(b, 5000), b), "draw", "a", "b", similarity="num")
 
 
-@query("response_similarity", R + "," + draw_sql("grid", 2000) + "," + SHARED + "SELECT draw, n_shared, round(response, 6) + 0.0 AS response FROM resp")
+@query("response_similarity", R + "," + draw_sql("grid", 5000) + "," + SHARED + "SELECT draw, n_shared, round(response, 6) + 0.0 AS response FROM resp")
 def _(spark, sf):
     g = grid(spark, sf)
-    return shaped(X.response_similarity(S.sample_pairs(g, 2000), g), "draw", n_shared="int", response="num")
+    return shaped(X.response_similarity(S.sample_pairs(g, 5000), g), "draw", n_shared="int", response="num")
 
 
-BOTH = with_cte(RESPONSE, BITS) + ", few AS (SELECT grid.* FROM grid JOIN bits USING (entity))," + draw_sql("few", 2000) + "," + SHARED + "," + SIMILAR
+BOTH = with_cte(RESPONSE, BITS) + ", few AS (SELECT grid.* FROM grid JOIN bits USING (entity))," + draw_sql("few", 5000) + "," + SHARED + "," + SIMILAR
 
 
 def _both(spark, sf):
     g, b = grid(spark, sf), bits(spark, sf)
-    pairs = materialize(S.sample_pairs(g.join(b.select("entity"), "entity", "left_semi"), 2000))
+    pairs = materialize(S.sample_pairs(g.join(b.select("entity"), "entity", "left_semi"), 5000))
     return S.pair_similarity(pairs, b), X.response_similarity(pairs, g)
 
 

@@ -256,17 +256,17 @@ def _(spark, sf):
 
 @query("union_parts", T + """
 SELECT model, target, metric, CASE WHEN part = 1 THEN fold ELSE -1 END AS fold FROM (
-  SELECT *, 1 AS part FROM metrics WHERE event_id % 2 = 0 UNION ALL SELECT *, 2 FROM metrics WHERE event_id % 3 = 0)""")
+  SELECT *, 1 AS part FROM metrics WHERE event_id % 2 = 0 UNION ALL SELECT *, 2 FROM metrics WHERE event_id % 2 <> 0)""")
 def _(spark, sf):
     m = metrics(spark, sf).select("event_id", "model", "target", "metric", "fold")
-    parts = joins.union_all(m.where("event_id % 2 = 0").drop("event_id"), m.where("event_id % 3 = 0").drop("event_id", "fold"))
+    parts = joins.union_all(m.where("event_id % 2 = 0").drop("event_id"), m.where("event_id % 2 <> 0").drop("event_id", "fold"))
     return shaped(parts.fillna(-1, ["fold"]), "model", "target", "metric", fold="int")
 
 
 @query("common_ids", """
-SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels""")
+SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels""")
 def _(spark, sf):
-    return joins.common_ids(table(spark, sf, "documents").where("lang = 'en'").select("doc_id"),
+    return joins.common_ids(table(spark, sf, "documents").select("doc_id"),
                             table(spark, sf, "labels").select("doc_id"))
 
 
@@ -277,14 +277,14 @@ def _(spark, sf):
 
 
 @query("join_metric_series", T + """
-SELECT a.target, round(a.m, 6) AS click, round(b.m, 6) AS error FROM
-  (SELECT target, avg(metric) AS m FROM metrics WHERE model = 'click' GROUP BY target) a JOIN
-  (SELECT target, avg(metric) AS m FROM metrics WHERE model = 'error' GROUP BY target) b USING (target)""")
+SELECT a.target, round(a.m, 6) AS test, round(b.m, 6) AS train FROM
+  (SELECT target, avg(metric) AS m FROM metrics WHERE split = 'Train_Test' GROUP BY target) a JOIN
+  (SELECT target, avg(metric) AS m FROM metrics WHERE split = 'Train_Train' GROUP BY target) b USING (target)""")
 def _(spark, sf):
     m = metrics(spark, sf)
-    got = joins.join_metrics(S.target_means(m.where("model = 'click'"), "metric", name="click"),
-                             S.target_means(m.where("model = 'error'"), "metric", name="error"), "target")
-    return shaped(got, "target", click="num", error="num")
+    got = joins.join_metrics(S.target_means(m.where("split = 'Train_Test'"), "metric", name="test"),
+                             S.target_means(m.where("split = 'Train_Train'"), "metric", name="train"), "target")
+    return shaped(got, "target", test="num", train="num")
 
 
 @query("check_against_claims", T + """,

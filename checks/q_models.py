@@ -72,10 +72,10 @@ def _scored(model, **params):
     return run
 
 
-query("fit_random_forest")(_scored("rf", numTrees=20, maxDepth=5))
-query("fit_boosted_trees")(_scored("gbt", maxIter=5, maxDepth=3))
-query("fit_logistic")(_scored("logit", maxIter=50))
-query("fit_linear_svm")(_scored("linear_svm", maxIter=20))
+query("fit_random_forest")(_scored("rf", numTrees=100))
+query("fit_boosted_trees")(_scored("gbt", maxIter=20))
+query("fit_logistic")(_scored("logit"))
+query("fit_linear_svm")(_scored("linear_svm"))
 
 
 def regression_rows(spark, sf):
@@ -95,7 +95,7 @@ def _(spark, sf):
 
 @query("random_search")
 def _(spark, sf):
-    return E.random_search(regression_rows(spark, sf), "elastic_net", n_iter=6, folds=3)[1]
+    return E.random_search(regression_rows(spark, sf), "elastic_net", n_iter=20, folds=5)[1]
 
 
 @query("run_grid")
@@ -103,7 +103,7 @@ def _(spark, sf):
     every = rows(spark, sf)
     sets = {"raw": E.dense_vectors(every), "abs": E.dense_vectors(every.withColumn("v", F.transform("v", F.abs)))}
     splits = {"random": lambda df: random_split(df.drop("side"), by="target"), "fixed": lambda df: df}
-    return E.run_grid(sets, ["gaussian_nb", "logit", "unknown"], splits, maxIter=20)
+    return E.run_grid(sets, ["gaussian_nb", "logit", "unknown"], splits)
 
 
 @query("save_list_score_models")
@@ -114,7 +114,7 @@ def _(spark, sf):
 
     path = temp_table_path(spark, f"models-{uuid.uuid4().hex}")
     data = vector_rows(spark, sf)
-    models, _ = E.fit_targets(data, "logit", maxIter=20)
+    models, _ = E.fit_targets(data, "logit")
     E.save_models(spark, models, path, {name: {"threshold": 0.5, "model": "logit"} for name in models})
     out = None
     for row in E.list_models(spark, path).orderBy("target").collect():
@@ -127,9 +127,9 @@ def _(spark, sf):
 
 @query("skipped_targets", """
 SELECT source AS target, count(*) FILTER (doc_id % 5 <> 0) AS n_train FROM documents JOIN labels USING (doc_id) GROUP BY source
-HAVING count(*) FILTER (doc_id % 5 <> 0) < 17 OR count(DISTINCT CASE WHEN doc_id % 5 <> 0 THEN quality END) < 2""")
+HAVING count(*) FILTER (doc_id % 5 <> 0 AND quality IS NOT NULL) < 10 OR count(DISTINCT CASE WHEN doc_id % 5 <> 0 THEN quality END) < 2""")
 def _(spark, sf):
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     data = docs.select(F.col("source").alias("target"), F.col("quality").alias("label"),
                        F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("side"))
-    return E.skipped_targets(data, 17).select("target", "n_train")
+    return E.skipped_targets(data).select("target", "n_train")

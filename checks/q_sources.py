@@ -38,12 +38,15 @@ def _(spark, sf):
     return S.melt_matrix(spark.read.parquet(path), ["entity"], drop=("name",))
 
 
-@query("export_matrix", A + """
-SELECT entity, p_name AS name, max(value) FILTER (target = 'NATION_0') AS NATION_0, max(value) FILTER (target = 'NATION_7') AS NATION_7,
-       max(value) FILTER (target = 'NATION_24') AS NATION_24 FROM cells LEFT JOIN part ON entity = p_partkey GROUP BY ALL""")
+NATIONS = [f"NATION_{k}" for k in range(25)]
+
+
+@query("export_matrix", A + "SELECT entity, p_name AS name, "
+       + ", ".join(f"max(value) FILTER (target = '{n}') AS {n}" for n in NATIONS)
+       + " FROM cells LEFT JOIN part ON entity = p_partkey GROUP BY ALL")
 def _(spark, sf):
     dims = table(spark, sf, "part").select(F.col("p_partkey").alias("entity"), F.col("p_name").alias("name"))
-    return S.export_matrix(cells(spark, sf), dims, targets=["NATION_0", "NATION_7", "NATION_24"])
+    return S.export_matrix(cells(spark, sf), dims, targets=NATIONS)
 
 
 RESULTS = """

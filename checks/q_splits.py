@@ -160,7 +160,7 @@ FLIPPED = "flip AS (SELECT entity, target, 1 - label AS label FROM scored)"
 c AS (SELECT target, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM flip GROUP BY target HAVING pos > 0 AND pos < neg),
 mi AS (SELECT f.*, pos, neg, row_number() OVER (PARTITION BY f.target ORDER BY {H(42, 'f.target', 'entity')}) - 1 AS i FROM flip f JOIN c ON f.target = c.target WHERE label = 1),
 d AS (SELECT target, pos, unnest(range(0, neg - pos)) AS draw FROM c),
-dd AS (SELECT target, draw, CAST('0x' || substr({H(42, 'target', 'draw')}, 1, 8) AS BIGINT) % pos AS i FROM d)
+dd AS (SELECT target, draw, CAST('0x' || substr({H(42, 'target', 'draw')}, 1, 15) AS BIGINT) % pos AS i FROM d)
 SELECT entity, target, label, CAST(-1 AS BIGINT) AS draw FROM flip UNION ALL
 SELECT entity, mi.target, label, draw FROM dd JOIN mi ON dd.target = mi.target AND dd.i = mi.i""")
 def _(spark, sf):
@@ -168,14 +168,19 @@ def _(spark, sf):
     return X.upsample(flipped).fillna(-1, ["draw"]).select("entity", "target", "label", "draw")
 
 
-@query("imbalance_strategies")
+@query("imbalance_strategies", P + "," + FLIPPED + """,
+c AS (SELECT target, CAST(count(*) FILTER (label = 1) AS DOUBLE) AS pos, CAST(count(*) FILTER (label = 0) AS DOUBLE) AS neg FROM flip GROUP BY target),
+s AS (SELECT unnest(['none', 'sample_weight', 'upsample', 'class_weight']) AS strategy), m AS (SELECT unnest(['rf', 'knn']) AS model),
+e AS (SELECT *, CASE WHEN strategy = 'upsample' AND pos > 0 AND pos < neg THEN 2 * neg ELSE pos + neg END AS n_rows FROM c, s, m)
+SELECT target, strategy, model, CAST(n_rows AS BIGINT) AS n,
+       round(CASE WHEN strategy = 'sample_weight' AND model = 'rf' AND pos > 0 AND neg > 0 THEN 2 * neg ELSE n_rows END, 6) AS weight FROM e""")
 def _(spark, sf):
     flipped = scored(spark, sf).select("entity", "target", (1 - F.col("label")).alias("label"))
     out = None
     for strategy in X.STRATEGIES:
         for model in ("rf", "knn"):
             part = X.imbalance(flipped, strategy, model).groupBy("target").agg(
-                F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).withColumns(
+                F.count(F.lit(1)).alias("n"), r(F.sum("weight")).alias("weight")).withColumns(
                 {"strategy": F.lit(strategy), "model": F.lit(model)})
             out = part if out is None else out.unionByName(part)
     return out

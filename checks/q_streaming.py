@@ -30,7 +30,9 @@ def drain(spark, stream):
     return spark.read.parquet(out)
 
 
-@query("stream_diversity_cap")
+@query("stream_diversity_cap", """
+SELECT event_type, count(*) AS n, least(100, count(*) FILTER (value / 100.0 >= 0.4)) AS n_admitted,
+       greatest(0, count(*) FILTER (value / 100.0 >= 0.4) - 100) AS n_over FROM events GROUP BY 1""")
 def _(spark, sf):
     stream = replay(spark, sf).select("event_id", "event_type", (F.col("value") / 100.0).alias("score"))
     got = drain(spark, stream_diversity_cap(stream, "event_type", cap=100, order="event_id"))

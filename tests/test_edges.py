@@ -332,8 +332,62 @@ def test_best_coverage_ignores_levels_without_a_mean(spark):
     assert (row["best_coverage"], row["best_auc"], row["baseline_auc"]) == (50, 0.7, 0.6)
 
 
-def test_similarity_split_switches_to_kmeans(spark):
+def test_similarity_split_by_kmeans(spark):
     rows, df = bit_frame(spark)
-    out = similarity.similarity_split(df, limit=10, size=64)
+    out = similarity.similarity_split(df, method="kmeans", k=2, size=64)
     audit = splits.split_audit(out, "cluster").first()
     assert out.count() == len(rows) and audit["n_groups"] == 2 and audit["n_leaking"] == 0
+
+
+def test_splits_keep_rows_of_null_groups_and_labels(spark):
+    rows = [(f"e{i}", None if i % 3 == 0 else f"t{i % 2}", None if i % 4 == 0 else i % 2) for i in range(40)]
+    df = frame(spark, rows, "entity string, target string, label int")
+    for out in (
+        splits.random_split(df, stratify="label"), splits.random_split(df, by="target"), splits.kfold(df, by="target"),
+        splits.random_split(df, by="target", stratify="label"),
+    ):
+        assert sorted(r.entity for r in out.collect()) == sorted(r[0] for r in rows)
+    sizes = splits.kfold(df, k=2, by="target").groupBy("target", "fold").count().collect()
+    assert {r.target for r in sizes} == {None, "t0", "t1"} and len(sizes) == 6
+
+
+def test_auc_of_large_counts(spark):
+    from titerflow.operators.metrics import auc_of_points
+
+    big = 4_000_000_000
+    points = frame(spark, [("t", 0.1, big, 0), ("t", 0.9, big, big)], "target string, score double, n bigint, hits bigint")
+    assert by_key(auc_of_points(points, "target", "score"), "target", "auc") == {"t": 1.0}
+
+
+def test_missing_by_target_lists_targets_without_a_value(spark):
+    from titerflow.operators.cleaning import missing_by_target
+
+    df = frame(spark, [("a", "t", 1.0), ("b", "t", None), ("a", "u", None)], "entity string, target string, value double")
+    got = {r.target: (r.n_filled, r.n_missing) for r in missing_by_target(df).collect()}
+    assert got == {"t": (1, 1), "u": (0, 2)}
+
+
+def test_numbers_with_large_exponents(spark):
+    from titerflow.functions.columns import parse_censored
+
+    df = frame(spark, [(t,) for t in ("1e100", ">1e-300", "1e999", "<5", "x")], "t string").select(parse_censored("t").alias("p"))
+    assert [(r.p.value, r.p.flag) for r in df.collect()] == [(1e100, "="), (1e-300, ">"), (None, "invalid"), (5.0, "<"), (None, "invalid")]
+
+
+def test_bits_that_repeat_count_once(spark):
+    df = frame(spark, [("a", [1, 1, 2]), ("b", [1, 2, 2])], "entity string, bits array<int>")
+    sets = similarity.bit_sets(df).collect()
+    assert [(r["size"], r.n_members) for r in sets] == [(2, 2)]
+    assert similarity.set_members(df).select("set_id").distinct().count() == 1
+
+
+def test_models_and_skipped_targets_use_one_rule(spark):
+    from titerflow.models.estimators import score_rows, skipped_targets
+
+    rows = [("few", f"e{i}", None if i < 4 else i % 2, "train" if i < 12 else "test", [float(i), 1.0]) for i in range(14)]
+    rows += [("one", f"e{i}", 1, "train" if i < 12 else "test", [float(i), 1.0]) for i in range(14)]
+    rows += [("ok", f"e{i}", i % 2, "train" if i < 12 else "test", [float(i % 2), 1.0 + i]) for i in range(14)]
+    df = frame(spark, rows, "target string, entity string, label int, side string, v array<double>")
+    assert {r.target for r in skipped_targets(df).collect()} == {"few", "one"}
+    for model in ("gaussian_nb", "knn"):
+        assert {r.target for r in score_rows(df, model, strategy="sample_weight").select("target").distinct().collect()} == {"ok"}

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # A plain decimal number with optional exponent.
-NUMBER_PATTERN = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d{1,2})?"
+NUMBER_PATTERN = r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?"
 # Coefficients of the Abramowitz and Stegun 7.1.26 approximation of erf.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -24,8 +24,13 @@ def finite(col: Column | str) -> Column:
 
 
 def to_number(col: Column | str) -> Column:
-    """A double if the text is a plain number, else NULL."""
-    return F.regexp_extract(as_col(col), rf"^\s*({NUMBER_PATTERN})\s*$", 1).try_cast("double")
+    """A double if the text is a plain finite number, else NULL."""
+    return within_range(F.regexp_extract(as_col(col), rf"^\s*({NUMBER_PATTERN})\s*$", 1).try_cast("double"))
+
+
+def within_range(number: Column) -> Column:
+    """NULL where a number was too large for a double."""
+    return F.when(F.abs(number) < float("inf"), number)
 
 
 def parse_censored(col: Column | str) -> Column:
@@ -35,7 +40,7 @@ def parse_censored(col: Column | str) -> Column:
     """
     text = F.coalesce(as_col(col), F.lit(""))
     pattern = rf"^\s*([<>]?)\s*({NUMBER_PATTERN})\s*$"
-    value = F.regexp_extract(text, pattern, 2).try_cast("double")
+    value = within_range(F.regexp_extract(text, pattern, 2).try_cast("double"))
     sign = F.regexp_extract(text, pattern, 1)
     flag = F.when(value.isNull(), "invalid").when(sign != "", sign).otherwise("=")
     return F.struct(value.alias("value"), flag.alias("flag"))
@@ -80,6 +85,11 @@ def hash_number(hexed: Column) -> Column:
     return F.conv(F.substring(hexed, 1, 8), 16, 10).cast("bigint")
 
 
+def hash_draw(hexed: Column) -> Column:
+    """The first fifteen hex digits of a hash as a non-negative long: fine enough to reach every row of a large table."""
+    return F.conv(F.substring(hexed, 1, 15), 16, 10).cast("bigint")
+
+
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution function, absolute error below 1e-7."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))

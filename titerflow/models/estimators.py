@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerflow.functions.columns import clip_probability, link_probability, safe_id
-from titerflow.models.native import gaussian_nb, knn_probability
+from titerflow.models.native import MIN_ROWS, fit_gaussian_nb, knn_probability, score_gaussian_nb, trainable_targets
 from titerflow.operators.metrics import average_precision, by_side, confusion_metrics, rank_auc
 from titerflow.operators.cutoffs import youden_probability
 from titerflow.operators.joins import attach
@@ -36,7 +36,8 @@ from titerflow.session import materialize, pin
 
 CLASSIFIERS = ("rf", "gbt", "logit", "linear_svm")
 NATIVE = ("gaussian_nb", "knn")
-MIN_ROWS = 10
+#: Deepest tree that Spark grows; forests are not limited further.
+MAX_DEPTH = 30
 
 
 def dense_vectors(df: DataFrame, col: str = "v", name: str = "features") -> DataFrame:
@@ -55,13 +56,13 @@ def make_estimator(model: str, n_rows: float = 1.0, seed: int = 42, c: float = 1
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight"}
     ridge = 1.0 / (c * max(n_rows, 1.0))
     makers = {
-        "rf": lambda: RandomForestClassifier(**common, seed=seed, **{"numTrees": 100, "maxDepth": 10, **params}),
+        "rf": lambda: RandomForestClassifier(**common, seed=seed, **{"numTrees": 100, "maxDepth": MAX_DEPTH, **params}),
         "gbt": lambda: GBTClassifier(**common, seed=seed, **{"maxIter": 100, "maxDepth": 6, **params}),
         "logit": lambda: LogisticRegression(
             **common, **{"standardization": False, "regParam": ridge, "maxIter": 1000, **params}
         ),
         "linear_svm": lambda: LinearSVC(**common, **{"standardization": False, "regParam": ridge, "maxIter": 100, **params}),
-        "rf_regressor": lambda: RandomForestRegressor(**common, seed=seed, **{"numTrees": 100, "maxDepth": 10, **params}),
+        "rf_regressor": lambda: RandomForestRegressor(**common, seed=seed, **{"numTrees": 100, "maxDepth": MAX_DEPTH, **params}),
         "gbt_regressor": lambda: GBTRegressor(**common, seed=seed, **{"maxIter": 100, "maxDepth": 6, **params}),
         "elastic_net": lambda: LinearRegression(
             **common, **{"standardization": False, "regParam": 1.0, "elasticNetParam": 0.5, **params}
@@ -79,14 +80,6 @@ def positive_probability(scored: DataFrame, name: str = "p") -> DataFrame:
     return scored.withColumn(name, link_probability(vector_to_array("rawPrediction")[1]))
 
 
-def target_names(labels: DataFrame, target: str = "target", limit: int = 10_000) -> list[str]:
-    """The distinct targets, at most ``limit``; more call for the closed-form models."""
-    names = [row[0] for row in labels.select(target).distinct().orderBy(target).limit(limit + 1).collect()]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} targets: use gaussian_nb or knn, which train all targets in one job")
-    return names
-
-
 def fit_targets(
     rows: DataFrame, model: str, strategy: str = "none", min_rows: int = MIN_ROWS, seed: int = 42, only: str | None = None,
     threads: int = 4, target: str = "target", **params,
@@ -97,23 +90,13 @@ def fit_targets(
     with ``p``; a target with too few rows or one class has no model (see ``grid_metrics`` for its row).
     """
     rows = pin(rows if only is None else rows.where(F.col(target) == only))
-    stats = {
-        r[target]: (r["n"], r["classes"])
-        for r in rows.where("side = 'train' AND label IS NOT NULL")
-        .groupBy(target)
-        .agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("classes"))
-        .orderBy(target)
-        .limit(10_001)
-        .collect()
-    }
-    if len(stats) > 10_000:
-        raise ValueError("too many targets to loop over: use gaussian_nb or knn")
-    usable = [t for t, (n, classes) in stats.items() if n >= min_rows and classes == 2]
+    usable = [r[0] for r in trainable_targets(rows.where("side = 'train'"), target, min_rows=min_rows).orderBy(target).collect()]
 
     def train(name):
         mine = rows.where(F.col(target) == name)
         weighted = imbalance(mine.where("side = 'train' AND label IS NOT NULL"), strategy, model, target)
-        estimator = make_estimator(model, stats[name][0], seed, **params)
+        total = weighted.agg(F.sum("weight").alias("w")).first()["w"]  # the L2 strength follows the weights
+        estimator = make_estimator(model, total, seed, **params)
         return name, Pipeline(stages=[estimator]).fit(weighted.withColumn("label", F.col("label").cast("double")))
 
     with ThreadPoolExecutor(max(1, min(threads, len(usable) or 1))) as pool:
@@ -128,11 +111,14 @@ def fit_targets(
 
 def score_rows(rows: DataFrame, model: str, **kw) -> DataFrame | None:
     """Probabilities of all rows for any model kind; the closed-form ones need ``v`` and run in one job."""
+    if model in NATIVE:
+        known = rows.where("side = 'train' AND label IS NOT NULL")
+        usable = trainable_targets(known, min_rows=kw.get("min_rows", MIN_ROWS)).select("target")
+        train = imbalance(known.join(usable, "target", "left_semi"), kw.get("strategy", "none"), model)
     if model == "gaussian_nb":
-        train = rows.where("side = 'train' AND label IS NOT NULL")
-        return gaussian_nb(train, rows, kw.get("smoothing", 1e-9)).select("target", "entity", "label", "side", "p")
+        fitted = fit_gaussian_nb(train, smoothing=kw.get("smoothing", 1e-9), weight="weight")
+        return score_gaussian_nb(fitted, rows).select("target", "entity", "label", "side", "p")
     if model == "knn":
-        train = rows.where("side = 'train' AND label IS NOT NULL")
         near = knn_probability(train, rows.where("side = 'test'"), kw.get("k", 5))
         return near.join(rows.select("target", "entity", "label", "side"), ["target", "entity"])
     return fit_targets(rows, model, **kw)[1]
@@ -147,7 +133,7 @@ def evaluate(scored: DataFrame, by=("target",), cutoff: float | str = 0.5, thres
     keys = [*by]
     if cutoff == "youden":
         cut = youden_probability(scored.where(F.col("side") == threshold_on), keys, "label", "p", "clipped")
-        judged = attach(scored, cut.select(*keys, "threshold"), keys, "left", spread=["entity"])
+        judged = attach(scored, cut.select(*keys, "threshold"), keys, "left")
         judged = judged.fillna(0.5, ["threshold"])
     else:
         judged = scored.withColumn("threshold", F.lit(float(cutoff)))
@@ -171,20 +157,21 @@ def run_grid(feature_sets: dict[str, DataFrame], models: list[str], splits: dict
     for (fname, rows), (sname, split), model in itertools.product(feature_sets.items(), splits.items(), models):
         names = dict(zip(keys, (F.lit(fname), F.lit(model), F.lit(sname))))
         try:
-            extra = {} if model in NATIVE else {"strategy": strategy, **kw}
-            part = score_rows(split(rows), model, **extra)
+            extra = {} if model in NATIVE else kw
+            part = score_rows(split(rows), model, strategy=strategy, **extra)
             if part is None:
                 raise ValueError("no target can be trained")
-            part = part.select("target", "entity", "label", "side", "p").withColumns(names)
+            # written here, so that a failure stays with its combination
+            part = materialize(part.select("target", "entity", "label", "side", "p").withColumns(names))
             predictions = part if predictions is None else predictions.unionByName(part)
         except Exception as problem:
-            text = f"{type(problem).__name__}: {problem}"[:500]
+            text = f"{type(problem).__name__}: {problem}"
             part = rows.sparkSession.range(1).select(F.lit(text).alias("error")).withColumns(names)
             failures = part if failures is None else failures.unionByName(part)
     out = None
     if predictions is not None:
         # one evaluation job over the predictions of every combination
-        out = evaluate(materialize(predictions), (*keys, "target"), cutoff, threshold_on).withColumn("error", F.lit(None).cast("string"))
+        out = evaluate(predictions, (*keys, "target"), cutoff, threshold_on).withColumn("error", F.lit(None).cast("string"))
         # a target that cannot be trained still gets a row, with NULL metrics
         for (fname, rows), (sname, split) in itertools.product(feature_sets.items(), splits.items()):
             skipped = skipped_targets(split(rows)).withColumns(
@@ -198,9 +185,9 @@ def run_grid(feature_sets: dict[str, DataFrame], models: list[str], splits: dict
 
 def skipped_targets(rows: DataFrame, min_rows: int = MIN_ROWS, target: str = "target") -> DataFrame:
     """Targets that cannot be trained, as metric rows with NULL metrics."""
+    used = (F.col("side") == "train") & F.col("label").isin(0, 1)
     stats = rows.groupBy(target).agg(
-        F.count_if(F.col("side") == "train").alias("n_train"),
-        F.countDistinct(F.when(F.col("side") == "train", F.col("label"))).alias("classes"),
+        F.count_if(used).alias("n_train"), F.countDistinct(F.when(used, F.col("label"))).alias("classes")
     )
     return stats.where((F.col("n_train") < min_rows) | (F.col("classes") < 2)).select(
         target, "n_train", *[F.lit(None).cast("double").alias(m) for m in ("accuracy", "f1", "auc", "auprc", "mcc")]
@@ -209,7 +196,7 @@ def skipped_targets(rows: DataFrame, min_rows: int = MIN_ROWS, target: str = "ta
 
 # Search ranges.
 SEARCH_SPACE = {
-    "rf_regressor": {"numTrees": [50, 100, 200], "maxDepth": [5, 8, 10], "minInstancesPerNode": [1, 2, 4]},
+    "rf_regressor": {"numTrees": [200, 300, 400], "maxDepth": [10, 15, 20], "minInstancesPerNode": [2, 4, 6]},
     "gbt_regressor": {"maxIter": [20, 50, 100], "maxDepth": [3, 5, 6], "stepSize": [0.01, 0.05, 0.1]},
     "elastic_net": {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.1, 0.3, 0.5, 0.7, 0.9]},
 }
@@ -280,22 +267,16 @@ def kmeans_groups(df: DataFrame, k: int, seed: int = 42, features: str = "featur
     return fitted.transform(kept)
 
 
-# Rules for the number of clusters after the reduction to two dimensions.
-GROUP_RULES = {
-    "twentieth": lambda n: max(2, min(10, n // 20)),
-    "most": lambda n: max(2, int(n * 0.8)),
-    "tenth": lambda n: max(2, int(n * 0.1)),
-}
-
-
 def reduced_cluster_split(
-    df: DataFrame, rule: str = "twentieth", frac: float = 0.2, seed: int = 42, features: str = "features", entity: str = "entity"
+    df: DataFrame, k: int = 10, frac: float = 0.2, seed: int = 42, features: str = "features", entity: str = "entity"
 ) -> DataFrame:
-    """Two principal components, k-means on them, then the group split."""
+    """Two principal components, k-means with ``k`` groups on them, then the group split.
+
+    ``k`` centres pass through the driver: choose it by the groups wanted, not by the number of rows.
+    """
     from titerflow.operators.splits import group_split
 
     kept = pin(df)
-    k = GROUP_RULES[rule](kept.count())
     flat = PCA(k=2, inputCol=features, outputCol="reduced").fit(kept).transform(kept)
     groups = kmeans_groups(flat, k, seed, "reduced").drop("reduced")
     return group_split(groups, "cluster", frac, entity)

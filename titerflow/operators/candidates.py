@@ -1,11 +1,12 @@
 """Scoring, alerts and diversity of candidates."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from titerflow.functions.columns import desirability, weighted_product
 from titerflow.operators.joins import attach
+from titerflow.operators.ordering import first_rows
 
 
 def score_components(df: DataFrame, components: list[dict], prefix: str = "score_") -> DataFrame:
@@ -49,10 +50,9 @@ def diversity_cap(
     """
     key = F.struct(*[F.col(c) for c in order])
     good = df.where(F.col(score) >= minscore)
-    first = Window.partitionBy(group).orderBy(*order)
-    head = good.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= cap)
+    head = first_rows(good, group, order, cap, "_rn")
     marks = head.groupBy(group).agg(F.max(key).alias("_last"), F.count(F.lit(1)).alias("_held"))
-    joined = attach(df, marks, group, "left", spread=list(order))
+    joined = attach(df, marks, group, "left")
     over = (F.col(score) >= minscore) & (F.col("_held") >= cap) & (key > F.col("_last"))
     return joined.withColumn(name, F.when(over, 0.0).otherwise(F.col(score))).drop("_last", "_held")
 

@@ -184,7 +184,7 @@ def matrix_profile(df: DataFrame, value: str = "value", entity: str = "entity",
 def missing_by_target(df: DataFrame, entity: str = "entity", target: str = "target", value: str = "value") -> DataFrame:
     """Filled and missing cells per target against all entities of the table."""
     n_entities = df.agg(F.countDistinct(entity).alias("n")).scalar()
-    filled = df.where(F.col(value).isNotNull()).groupBy(target).agg(F.countDistinct(entity).alias("n_filled"))
+    filled = df.groupBy(target).agg(F.countDistinct(F.when(F.col(value).isNotNull(), F.col(entity))).alias("n_filled"))
     return filled.withColumn("n_missing", n_entities - F.col("n_filled")).withColumn(
         "pct_missing", 100.0 * F.col("n_missing") / n_entities
     )

@@ -53,7 +53,7 @@ def balanced_cutoff(
     q = q.withColumns({name: F.lit(float(v)) for name, v in zip(fixed, extra, strict=True)})
     names = ["c0", "c1", "c2", *fixed]
     pts = value_points(df, target, value)
-    joined = attach(pts, q.withColumnRenamed("n", "total"), target, "inner", spread=[value])
+    joined = attach(pts, q.withColumnRenamed("n", "total"), target, "inner")
     shares = joined.groupBy(target).agg(
         F.max("total").alias("n"),
         F.max("lo").alias("lo"),
@@ -198,5 +198,5 @@ def binarize(
     """Add a 0/1 ``label``: one cutoff for all targets, or a threshold table joined on target."""
     if isinstance(thresholds, (int, float)):
         return df.withColumn("label", binary_label(value, float(thresholds), op))
-    joined = attach(df, thresholds.select(target, "threshold"), target, "inner", spread=[entity])
+    joined = attach(df, thresholds.select(target, "threshold"), target, "inner")
     return joined.withColumn("label", binary_label(value, F.col("threshold"), op))

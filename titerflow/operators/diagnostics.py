@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from titerflow.functions.pvalues import p_chi2, p_normal, p_t, t_95
 from titerflow.operators.joins import attach
 from titerflow.operators.ordering import _keys, ranked_points, running_totals, spearman
+from titerflow.session import materialize
 
 
 def _ranked_counts(df: DataFrame, group: str, value: str) -> tuple[DataFrame, DataFrame]:
@@ -124,11 +125,11 @@ def ttest_1samp(df: DataFrame, value: str, mu: float = 0.5, cuts: tuple[float, .
 
 def variance_parts(df: DataFrame, value: str = "value", entity: str = "entity", target: str = "target") -> DataFrame:
     """Additive two-way decomposition: variance of entity means, target means and residuals, and their shares."""
-    known = df.where(F.col(value).isNotNull())
+    known = materialize(df.where(F.col(value).isNotNull()).select(entity, target, value))
     rows = known.groupBy(entity).agg(F.avg(value).alias("row_mean"))
     cols = known.groupBy(target).agg(F.avg(value).alias("col_mean"))
     grand = known.agg(F.avg(value).alias("g")).scalar()
-    fitted = attach(attach(known, rows, entity, "inner", spread=[target]), cols, target, "inner", spread=[entity])
+    fitted = attach(attach(known, rows, entity, "inner"), cols, target, "inner")
     residual = F.col(value) - F.col("row_mean") - F.col("col_mean") + grand
     out = fitted.agg(F.var_samp(residual).alias("var_residual")).withColumns(
         {

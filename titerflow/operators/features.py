@@ -60,5 +60,4 @@ def custom_features(df: DataFrame, col: str, featurizer: Callable[[Column], Colu
     """Plug in a pandas UDF ``string -> array<int>``; it is called once per distinct text."""
     from titerflow.operators.joins import map_distinct
 
-    spread = [c for c in df.columns if c != col]
-    return map_distinct(df, col, featurizer, name, spread=spread or None)
+    return map_distinct(df, col, featurizer, name)

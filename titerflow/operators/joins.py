@@ -1,32 +1,30 @@
 """Joins between fact rows and per-key tables.
 
 No broadcast hints: Catalyst and adaptive execution broadcast a side whose measured size is under
-``spark.sql.autoBroadcastJoinThreshold`` and use a shuffled join beyond it.  ``spread`` salts the fact
-side, so that one key holding a large share of the rows is still joined by many tasks.
+``spark.sql.autoBroadcastJoinThreshold`` and use a shuffled join beyond it, whose hot keys adaptive execution
+splits over many tasks.
 """
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from titerflow.functions.columns import as_col
-
-SALTS = 16
-
-
-def attach(facts: DataFrame, dim: DataFrame, on, how: str = "left", spread=None, salts: int = SALTS) -> DataFrame:
-    """Join each fact row to at most one ``dim`` row; ``spread`` names columns that vary within a key."""
+def attach(facts: DataFrame, dim: DataFrame, on, how: str = "left", null_safe: bool = False) -> DataFrame:
+    """Join each fact row to at most one ``dim`` row; with ``null_safe`` a NULL key finds the NULL row."""
     on = [on] if isinstance(on, str) else list(on)
-    if not spread:
+    if not null_safe:
         return facts.join(dim, on, how)
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*[as_col(c) for c in spread]), F.lit(salts)).cast("int"))
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    other = dim.withColumnsRenamed({k: f"_of_{k}" for k in on})
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in on])
+    return facts.join(other, same, how).drop(*[f"_of_{k}" for k in on])
 
 
-def lookup(df: DataFrame, dim: DataFrame, key: str, spread=None) -> DataFrame:
+def lookup(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Attributes of the key; a key that is not listed keeps NULLs."""
-    return attach(df, dim, key, "left", spread)
+    return attach(df, dim, key, "left")
 
 
 def align(features: DataFrame, labels: DataFrame, key: str = "entity") -> DataFrame:
@@ -50,9 +48,9 @@ def in_all(df: DataFrame, entity: str, group_col: str, n_required: int) -> DataF
     return counts.where(F.col("n_groups") >= n_required)
 
 
-def join_thresholds(df: DataFrame, thresholds: DataFrame, target: str = "target", spread=("entity",)) -> DataFrame:
+def join_thresholds(df: DataFrame, thresholds: DataFrame, target: str = "target") -> DataFrame:
     """Values of the targets that have a threshold."""
-    return attach(df, thresholds, target, "inner", list(spread))
+    return attach(df, thresholds, target, "inner")
 
 
 def join_metrics(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -81,11 +79,11 @@ def check_against(
     return both.withColumn("gap", gap).withColumn("grade", grade)
 
 
-def map_distinct(df: DataFrame, col: str, fn, name: str, spread=None) -> DataFrame:
+def map_distinct(df: DataFrame, col: str, fn, name: str) -> DataFrame:
     """Evaluate ``fn`` once per distinct value of ``col`` and give every row its result."""
     mapped: Column = fn(F.col(col))
     values = df.select(col).where(F.col(col).isNotNull()).distinct().withColumn(name, mapped)
-    return attach(df, values, col, "left", spread)
+    return attach(df, values, col, "left")
 
 
 def common_ids(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ def auc_of_points(points: DataFrame, by, score: str, single_class: float | None
         .withColumn("_below", F.coalesce(F.sum("_neg").over(local), F.lit(0)))
         .groupBy(*by, CHUNK)
         .agg(
-            F.sum(F.col("hits") * (F.col("_below") + F.col("_neg") / 2.0)).alias("wins"),
+            F.sum(F.col("hits").cast("double") * (F.col("_below") + F.col("_neg") / 2.0)).alias("wins"),
             F.sum("hits").alias("pos"),
             F.sum("_neg").alias("neg"),
         )
@@ -65,7 +65,7 @@ def auc_of_points(points: DataFrame, by, score: str, single_class: float | None
         parts.withColumn("_lower", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
         .groupBy(*by)
         .agg(
-            F.sum(F.col("wins") + F.col("pos") * F.col("_lower")).alias("u"),
+            F.sum(F.col("wins") + F.col("pos").cast("double") * F.col("_lower")).alias("u"),
             F.sum("pos").alias("pos"),
             F.sum("neg").alias("neg"),
         )
@@ -90,7 +90,7 @@ def average_precision(
     """Step-wise area under the precision-recall curve."""
     by = _keys(by)
     roc = roc_points(df, by, label, score)
-    step = F.col("hits") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    step = F.col("hits").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))
     agg = roc.groupBy(*by).agg(F.sum(step).alias("s"), F.max("pos").alias("pos"), F.max("neg").alias("neg"))
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
     return agg.select(
@@ -98,12 +98,6 @@ def average_precision(
     )
 
 
-def ks_distance(df: DataFrame, by, label: str = "label", score: str = "score") -> DataFrame:
-    """Largest gap between the two class distributions, the J of the best cutoff."""
-    by = _keys(by)
-    return roc_points(df, by, label, score).groupBy(*by).agg(F.max(F.abs(F.col("tpr") - F.col("fpr"))).alias("ks"))
-
-
 def regression_metrics(df: DataFrame, by, truth: str = "truth", predicted: str = "predicted") -> DataFrame:
     """R2, RMSE, MAE, Pearson and Spearman per group."""
     by = _keys(by)

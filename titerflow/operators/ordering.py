@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,9 +82,12 @@ def running_totals(
     )
     local = _within(by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = keyed.withColumns({f"cum_{s}": F.sum(s).over(local) for s in sums})
-    joined = summed.join(offsets, [*by, CHUNK])
+    # null-safe: rows of a NULL group are a group like any other
+    keys = [*by, CHUNK]
+    offsets = offsets.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    joined = summed.join(offsets, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]))
     return joined.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"_before_{s}") for s in sums}).drop(
-        CHUNK, *[f"_before_{s}" for s in sums]
+        CHUNK, *[f"_before_{s}" for s in sums], *[f"_of_{k}" for k in keys]
     )
 
 
@@ -95,6 +100,19 @@ def row_numbers(df: DataFrame, by, order, name: str = "rank", size: str | None =
     return out.drop("_one", "cum__one", "tot__one")
 
 
+def first_rows(df: DataFrame, by, order, n: int, name: str) -> DataFrame:
+    """The first ``n`` rows per group, with their number.
+
+    Spark trims each task to ``n`` rows before the shuffle as long as n is below its window limit (1,000);
+    from there on rows are numbered over range partitions, so no group is sorted in one task either way.
+    """
+    if n < 1000:
+        numbered = df.withColumn(name, F.row_number().over(_within(_keys(by)).orderBy(*order)))
+    else:
+        numbered = row_numbers(df, by, list(order), name)
+    return numbered.where(F.col(name) <= n)
+
+
 def hash_rank(df: DataFrame, by, key: str, name: str = "rank", size: str | None = None, digits: int | None = None) -> DataFrame:
     """``row_number`` in the order of a hex hash column; its leading digits are the chunks.
 
@@ -116,8 +134,7 @@ def avg_rank(df: DataFrame, value: str, by=None, name: str = "avg_rank") -> Data
 
     by = _keys(by)
     ranks = ranked_points(df, by, value).select(*by, value, F.col("avg_rank").alias(name))
-    spread = [c for c in df.columns if c not in (*by, value)] or [value]
-    return attach(df, ranks, [*by, value], spread=spread)
+    return attach(df, ranks, [*by, value])
 
 
 def group_quantiles(df: DataFrame, by, value: str, probs: dict[str, float], keep_next: bool = False) -> DataFrame:
@@ -187,7 +204,7 @@ def spearman(df: DataFrame, x: str, y: str, by=None, name: str = "spearman") ->
         )
         from titerflow.operators.joins import attach
 
-        pairs = attach(pairs, ranks, [*by, col], how="inner", spread=[y if col == x else x])
+        pairs = attach(pairs, ranks, [*by, col], how="inner")
     return weighted_corr(pairs, "_rx", "_ry", "_w", by, name)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from titerflow.functions.columns import class_lag, std_prob
 from titerflow.operators.joins import attach
 from titerflow.operators.metrics import auc_of_points, rank_auc
-from titerflow.operators.ordering import _keys, row_numbers
+from titerflow.operators.ordering import _keys, first_rows, row_numbers
+from titerflow.session import materialize
 
 SCORES = ("class_lag", "cons_std", "cons_std_prob")
 
@@ -43,11 +44,8 @@ def keep_count(percent: Column, n: Column) -> Column:
 
 
 def keep_lowest(df: DataFrame, by, score: str, n: int, entity: str = "entity") -> DataFrame:
-    """The ``n`` rows with the lowest score per group.  Spark trims each task to ``n`` rows before the shuffle."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(*_keys(by)).orderBy(score, entity)
-    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    """The ``n`` rows with the lowest score per group."""
+    return first_rows(df, by, [score, entity], n, "rank")
 
 
 def auc_at_coverage(
@@ -106,7 +104,7 @@ def reliability_by_target(
     by = _keys(by)
     grid = grid or coverage_grid()
     ok = eligible_targets(rows, by, label, min_rows)
-    kept = attach(rows, ok.select(*by), by, "inner", spread=[entity])
+    kept = materialize(attach(rows, ok.select(*by), by, "inner"))  # read by five branches
     from titerflow.operators.ordering import group_quantiles
 
     stats = kept.groupBy(*by).agg(
@@ -196,5 +194,5 @@ def reliability_sweep(
     rows = labelled.join(preds, on).withColumn("class_lag", class_lag(p))
     keys = ["cutoff", *by]
     ok = eligible_targets(rows, keys, "label", min_rows).select(*keys)
-    kept = attach(rows, ok, keys, "inner", spread=[entity])
+    kept = attach(rows, ok, keys, "inner")
     return coverage_table(auc_at_coverage(kept, keys, "class_lag", p, "label", entity, grid), "cutoff")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from titerflow.operators.joins import attach
+from titerflow.session import materialize
 
 
 def choose_names(
@@ -48,9 +49,8 @@ def resolve_sources(
     All rows of the kept name stay.  Where the preferred version is involved, targets the kept name lacks
     are filled with the first row (in ``order``) of the other version, renamed.  Rows without a key go.
     """
-    named = attach(
-        df, choose_names(df, key, name, version, preferred, target), key, "inner", spread=[name, target, *order]
-    )
+    df = materialize(df)  # read for the choice and for the rows
+    named = materialize(attach(df, choose_names(df, key, name, version, preferred, target), key, "inner"))
     primary = named.where(F.col(name) == F.col("chosen"))
     covered = primary.where("kind = 'cross'").select(key, target).distinct()
     spare = named.where((F.col("kind") == "cross") & (F.col(name) != F.col("chosen")) & (F.col(version) == other))

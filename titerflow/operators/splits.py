@@ -26,7 +26,7 @@ def random_split(
 ) -> DataFrame:
     """Add ``side``: the first ``ceil(frac * n)`` entities in hash order are the test rows.
 
-    ``by`` splits each group on its own.  With ``stratify`` every class is cut separately, unless a group
+    ``by`` splits each group on its own; a NULL group is a group, rows without a class are a class.  With ``stratify`` every class is cut separately, unless a group
     has a class with fewer than ``min_per_class`` rows; such a group is split as a whole.
     ``exact=False`` compares the hash with ``frac`` directly: no shuffle, the share is only approximate.
     """
@@ -37,15 +37,16 @@ def random_split(
         return keyed.withColumn("side", _side(F.substring("_h", 1, 8) < limit)).drop("_h")
     groups = list(by)
     if stratify:
-        smallest = df.groupBy(*by, stratify).agg(F.count(F.lit(1)).alias("_c")).groupBy(*by).agg(
+        known = df.where(F.col(stratify).isNotNull())
+        smallest = known.groupBy(*by, stratify).agg(F.count(F.lit(1)).alias("_c")).groupBy(*by).agg(
             F.min("_c").alias("_smallest")
         )
         if by:
-            keyed = attach(keyed, smallest, by, "left", spread=[entity])
+            keyed = attach(keyed, smallest, by, "left", null_safe=True)
         else:
             keyed = keyed.withColumn("_smallest", smallest.scalar())
         keyed = keyed.withColumn(
-            "_stratum", F.when(F.col("_smallest") >= min_per_class, F.col(stratify).cast("string")).otherwise("all")
+            "_stratum", F.when(F.col("_smallest") >= min_per_class, F.col(stratify).cast("string")).otherwise(F.lit("all"))
         )
         groups.append("_stratum")
     ranked = hash_rank(keyed, groups, "_h", "_rank", "_size")
@@ -126,7 +127,7 @@ def _separate(df: DataFrame, group: str, unmatched: str) -> tuple[DataFrame, Dat
 
 def _rejoin(filled: DataFrame, sides: DataFrame, loose: DataFrame | None, group: str, entity: str) -> DataFrame:
     # a group may hold a large share of the rows: salt by entity
-    out = attach(filled, sides, group, "inner", spread=[entity])
+    out = attach(filled, sides, group, "inner")
     if loose is None:
         return out
     ranked = hash_rank(loose.withColumn("_h", hash_key("loose", entity)), None, "_h", "_rank", "_size")
@@ -134,12 +135,6 @@ def _rejoin(filled: DataFrame, sides: DataFrame, loose: DataFrame | None, group:
     return out.unionByName(ranked.withColumn("side", _side(half)).select(*out.columns))
 
 
-def ungrouped_halves(df: DataFrame, entity: str = "entity") -> DataFrame:
-    """Split rows in two halves by hash order, the smaller half to train."""
-    ranked = hash_rank(df.withColumn("_h", hash_key("loose", entity)), None, "_h", "_rank", "_size")
-    return ranked.withColumn("side", _side(F.col("_rank") > F.floor(F.col("_size") / 2))).drop("_h", "_rank", "_size")
-
-
 def split_audit(df: DataFrame, group: str, label: str | None = None) -> DataFrame:
     """One row: groups on both sides, rows per side, real test share and positive share per side."""
     per_group = df.groupBy(group).agg(
