@@ -72,9 +72,9 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs.select("id", "text"), work, "id bigint, shingles array<bigint>")
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, percent: int, total: int) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough: signatures rule out, the full sets decide."""
-    side = reps.select("id", "n_shingles", "sig")
+def _verified(pairs: DataFrame, marks: DataFrame, sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough: signatures (``marks``) rule out, the full ``sets`` decide."""
+    side = marks.select("id", "n_shingles", "sig")
     a = side.select(F.col("id").alias("u"), F.col("n_shingles").alias("nu"), F.col("sig").alias("su"))
     b = side.select(F.col("id").alias("v"), F.col("n_shingles").alias("nv"), F.col("sig").alias("sv"))
     equal = F.size(F.filter(F.zip_with("su", "sv", lambda x, y: x == y), lambda e: e))
@@ -86,8 +86,6 @@ def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, words: int, p
         .select("u", "v")
     )
     near = written(near)
-    ids = near.select(F.col("u").alias("id")).union(near.select("v")).distinct()
-    sets = written(shingle_sets(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), words))
     shared = F.size(F.array_intersect("su", "sv"))
     return written(
         near.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("su")), "u")
@@ -108,14 +106,12 @@ def _few(rows: DataFrame) -> DataFrame:
     )
 
 
-def _many(rows: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _many(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across components of large buckets, the closest one per member and component it meets.
 
     A bucket is dealt out in blocks of bounded total set size: members outside the largest component against
     all.  Overlaps are counted inside a task, so unlinked pairs never become rows.
     """
-    ids = rows.select("id").distinct()
-    sets = written(shingle_sets(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]), words))
     full = rows.join(sets, "id")
     lefts, rights = F.ceil(F.col("words") / BLOCK).cast("int"), F.ceil(F.col("other_words") / BLOCK).cast("int")
     deal = F.xxhash64("id")
@@ -201,12 +197,16 @@ def near_duplicates(
     )
     members = written(banded.join(leaders, "bucket"))
     first = members.where("id != leader").select(F.least("id", "leader").alias("u"), F.greatest("id", "leader").alias("v")).distinct()
-    links = _verified(first, reps, texts, words, percent, k)
+    # Only texts that share a bucket are read again; the ids grow with the table, so this is a merge join at any size.
+    ids = written(members.select("id").distinct())
+    marks = written(reps.join(ids, "id", "left_semi").select("id", "n_shingles", "sig"))
+    sets = written(shingle_sets(texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), words))
+    links = _verified(first, marks, sets, percent, k)
     found = written(connected_components(links))
     # Buckets in which several components meet: compare across components only.
     placed = written(
         members.join(found.withColumnRenamed("node", "id"), "id", "left")
-        .join(reps.select("id", "n_shingles"), "id")
+        .join(marks.select("id", "n_shingles"), "id")
         .select("bucket", "id", F.coalesce("component", "id").alias("c"), F.col("n_shingles").alias("size"))
     )
     parts = placed.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -221,9 +221,9 @@ def near_duplicates(
     )
     open_rows = written(placed.join(mixed, "bucket"))
     across = _few(open_rows.where(F.col("n") <= FEW)).unionByName(
-        _many(open_rows.where(F.col("n") > FEW), texts, words, percent)
+        _many(open_rows.where(F.col("n") > FEW), sets, percent)
     )
-    more = _verified(across.distinct(), reps, texts, words, percent, k)
+    more = _verified(across.distinct(), marks, sets, percent, k)
     component = written(connected_components(links.unionByName(more)))
     classes = reps.select("n_shingles", "d1", "d2", F.col("id").alias("rep")).join(
         component.withColumnRenamed("node", "rep"), "rep", "left"

@@ -27,7 +27,7 @@ class WordEncoder:
     is emptied when it is full, which only costs time.
     """
 
-    FULL = 500_000
+    FULL = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,45 +40,47 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        """Known words by their sorted hashes: where their ids begin in ``flat`` and how many they are."""
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _encode(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.known)
+    def _append(self, ids: np.ndarray) -> int:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(words) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.size[n : n + len(words)] = sizes
-        self.begin[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
+        at = self.used
+        self.flat[at : at + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(words, range(n, n + len(words))))
+        return at
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         """Encode new words; pure letters go in long strings, cut again after each word's last id."""
+        begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        texts = [w.decode("utf-8") for w in words]
         plain, other = [], []
-        for w in words:
-            s = w.decode("utf-8")
-            (plain if s.isalpha() else other).append((w, s))
+        for k, s in enumerate(texts):
+            (plain if s.isalpha() else other).append(k)
         for at in range(0, len(plain), 64_000):
-            part = plain[at : at + 64_000]
-            groups = [part[k : k + 500] for k in range(0, len(part), 500)]
-            for group, done in zip(groups, self._encode([" ".join(s for _, s in g) for g in groups])):
+            groups = [plain[k : k + 500] for k in range(at, min(at + 64_000, len(plain)), 500)]
+            for group, done in zip(groups, self._encode([" ".join([texts[k] for k in g]) for g in groups])):
                 ids = np.array(done.ids, np.uint32)
                 ends = np.flatnonzero(self.last[ids]) + 1
                 if len(ends) == len(group) and ends[-1] == len(ids):
-                    self._add([w for w, _ in group], ids, np.diff(ends, prepend=0))
+                    size[group] = np.diff(ends, prepend=0)
+                    begin[group] = self._append(ids) + ends - size[group]
                 else:  # some word gives several pieces
                     other += group
         for at in range(0, len(other), 16_000):
             part = other[at : at + 16_000]
-            lists = [e.ids for e in self._encode([s for _, s in part])]
-            self._add([w for w, _ in part], np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64))
+            lists = [e.ids for e in self._encode([texts[k] for k in part])]
+            size[part] = [len(x) for x in lists]
+            begin[part] = self._append(np.array([i for x in lists for i in x], np.uint32)) + np.cumsum(size[part]) - size[part]
+        place = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, place, hashes)
+        self.begin, self.size = np.insert(self.begin, place, begin), np.insert(self.size, place, size)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of each text."""
@@ -95,20 +97,32 @@ class WordEncoder:
         point = POINT[b] & ~after & np.append(False, LETTER[b[:-1]])[: len(b)]
         starts = np.flatnonzero(inside & (~before | point))
         ends = np.flatnonzero(inside & (~after | np.append(point[1:], False)[: len(b)])) + 1
-        edges = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         hashes = hash_spans(b, starts, ends)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        data = b.tobytes()
-        names = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-        missing = [w for w in names if w not in self.known]
-        if missing:
-            self.learn(missing)
-        index = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[which]
-        sizes, begin = self.size[index], self.begin[index]
+        at = self._find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unknown, first = np.unique(hashes[new], return_index=True)
+            data, first = b.tobytes(), new[first]
+            self.learn(unknown, [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
+            old = at >= 0
+            at[old] += np.searchsorted(unknown, hashes[old])  # the new ones went in between
+            at[new] = np.searchsorted(self.known, hashes[new])
+        sizes, begin = self.size[at], self.begin[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(begin - total[:-1], sizes)]
-        cut = total[np.searchsorted(starts, edges)]
-        return ids, np.diff(cut, prepend=0)
+        edges = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+        return ids, np.diff(total[np.searchsorted(starts, edges)], prepend=0)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The places of the hashes among the known ones, -1 where there is none."""
+        if len(self.known) == 0:
+            return np.full(len(hashes), -1)
+        order = np.argsort(hashes)  # looked up in order, the known ones pass through the cache once
+        ascending = hashes[order]
+        at = np.minimum(np.searchsorted(self.known, ascending), len(self.known) - 1)
+        out = np.empty_like(at)
+        out[order] = np.where(self.known[at] == ascending, at, -1)
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -155,7 +169,7 @@ def write_tokens(
                 [pa.array([v], k) for v, k in zip(row, kinds)], names=["part", "seq", "start", "n_ids", "n_docs", "image"]
             )
 
-        for batch in in_slices(batches, 1024):
+        for batch in in_slices(batches):
             part = batch.column(2)[0].as_py()
             ids, sizes = words.encode([t.tobytes() for t in views(batch.column(1))])
             at = 0
@@ -195,14 +209,14 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 image = Image(batch.column(1)[row].as_buffer().to_pybytes())
                 ends = np.cumsum(image.counts)
                 first = batch.column(0)[row].as_py()
-                for at in range(0, len(ends), 4096):
-                    stops = ends[at : at + 4096]
-                    begins = stops - image.counts[at : at + 4096]
+                for at in range(0, len(ends), 512):
+                    stops = ends[at : at + 512]
+                    begins = stops - image.counts[at : at + 512]
                     ids = image.read(int(begins[0]), int(stops[-1]))
                     cuts = zip((begins - begins[0]).tolist(), (stops - begins[0]).tolist())
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(image.doc_ids[at : at + 4096], pa.int64()),
+                            pa.array(image.doc_ids[at : at + 512], pa.int64()),
                             pa.array(first + begins),
                             pa.array(stops - begins),
                             pa.array([ids[a:b].tobytes() for a, b in cuts], pa.binary()),
