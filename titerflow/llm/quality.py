@@ -155,7 +155,7 @@ def held_out(id_col: str) -> F.Column:
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    threshold: float = 0.3, shrink: float = 0.1, ridge: float = 1e-3,
+    threshold: float = 0.3, shrink: float = 0.7, ridge: float = 1e-3,
 ) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
