@@ -130,8 +130,10 @@ def nearest(
     stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     longest = stats["m"] or 0.0
     share = min(1.0, sample / max(stats["n"], 1))
-    picked = classes.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))).select("v").toPandas()
-    base = np.array(picked["v"].tolist(), float) if len(picked) else np.zeros((0, 1))
+    picked = classes.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))).select("v").toArrow()
+    base = np.zeros((0, 1))
+    if picked.num_rows:
+        base = np.asarray(picked["v"].combine_chunks().flatten(), float).reshape(picked.num_rows, -1)
 
     def lifted(x: np.ndarray) -> np.ndarray:
         return np.hstack([x, np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0))[:, None]])
