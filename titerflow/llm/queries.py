@@ -16,10 +16,11 @@ from titerflow.llm.neardup import near_duplicates
 from titerflow.llm.neighbours import nearest
 from titerflow.llm.quality import quality_scores
 from titerflow.llm.repeats import remove_repeats
+from titerflow.llm.sql_forms import FORMS
 from titerflow.llm.tokens import tokenized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = dict(FORMS)
 
 
 def query(fn):
@@ -66,7 +67,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, percent=80)
-    return pairs.drop("sub")
+    return pairs.select("doc_id", "item_id", "item_shingles", "shared", "containment")
 
 
 @query
