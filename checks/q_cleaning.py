@@ -9,6 +9,7 @@ from titerflow.functions import columns as C
 from titerflow.operators import cleaning, cutoffs, joins, resolve
 from titerflow.operators.ordering import avg_rank
 from titerflow.plans.assay import summarise_assay
+from titerflow.plans.response import summarise_response
 
 A = with_cte(ASSAY)
 R = with_cte(RESPONSE)
@@ -336,6 +337,15 @@ def _(spark, sf):
         F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("total"))
 
 
+@query("response_target_summary", R + "," + RESOLVED + """,
+one AS (SELECT *, row_number() OVER (PARTITION BY entity, target ORDER BY ord, line, value) AS rn FROM (SELECT * FROM prim UNION ALL SELECT * FROM fill) WHERE value IS NOT NULL)
+SELECT target, count(*) AS n_total, count(*) FILTER (value <= 0.5) AS n_active, count(*) FILTER (value > 0.5) AS n_inactive,
+       round(100.0 * count(*) FILTER (value <= 0.5) / count(*), 6) AS pct_active FROM one WHERE rn = 1 GROUP BY target""")
+def _(spark, sf):
+    got = summarise_response(response(spark, sf), 0.5, "<=", "skey", "entity", "version", "V2", "V1", ["ord", "line", "entity", "value"])
+    return shaped(got, "target", n_total="int", n_active="int", n_inactive="int", pct_active="num")
+
+
 @query("resolve_merge_counts", R + "," + RESOLVED + """
 SELECT count(*) FILTER (kind = 'cross') AS n_cross_merges, count(*) FILTER (kind = 'same') AS n_same_merges, count(*) FILTER (kind = 'single') AS n_single FROM choice""")
 def _(spark, sf):

@@ -68,7 +68,6 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = temp_table_path(spark, f"table-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -90,7 +89,7 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Drop cached frames and the tables written by ``materialize``.
+    """Drop cached frames and everything written below ``temp_table_path``, such as ``materialize`` tables.
 
     Call it after the results that use them are written: frames built on them cannot be read afterwards.
     """
@@ -103,5 +102,7 @@ def release() -> None:
 
 
 def temp_table_path(spark: SparkSession, name: str) -> str:
-    """A path below the checkpoint folder for a table shared by several jobs."""
-    return os.path.join(checkpoint_dir(spark), name)
+    """A path below the checkpoint folder for a table shared by several jobs; ``release`` deletes it."""
+    path = os.path.join(checkpoint_dir(spark), name)
+    _written.append((spark, path))
+    return path
