@@ -189,15 +189,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not once:
         keyed = keyed.dropDuplicates(["_mix_own", "_mix_key"])
     joined = keyed.join(plan, keyed["_mix_own"].eqNullSafe(plan["_mix_id"]) & (keyed["_mix_key"] == plan["_mix_tie"]))
-    joined = joined.withColumn("_mix_uses", F.explode("_mix_plans"))
+    pieces = F.split(F.ltrim(F.col(text_col), F.lit(BLANKS)), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
+    # split below the row generators: inside the lambda that cuts ranges out it would run once per range
+    joined = joined.withColumn("_mix_words", pieces).withColumn("_mix_uses", F.explode("_mix_plans"))
     most = F.array_max(F.transform("_mix_uses", lambda u: u["n"]))
     passes = joined.withColumn("_mix_pass", F.explode(F.sequence(F.lit(1).cast("bigint"), most)))
-    pieces = F.split(F.ltrim(F.col(text_col), F.lit(BLANKS)), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
     chosen = F.filter("_mix_uses", lambda u: u["n"] >= F.col("_mix_pass"))
     cut = F.transform(
         chosen, lambda u: F.array_join(F.slice("_mix_words", (u["low"] + 1).cast("int"), (u["high"] - u["low"]).cast("int")), "")
     )
-    text = passes.withColumn("_mix_words", pieces).withColumn(text_col, F.array_join(cut, ""))
+    text = passes.withColumn(text_col, F.array_join(cut, ""))
     if "n_chars" in columns:
         text = text.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return text.select(*columns)
