@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
+from titerflow.llm import neighbours
 from titerflow.llm.contamination import contaminated, decontaminated
 from titerflow.llm.licences import licence_scan
 from titerflow.llm.neighbours import nearest
@@ -111,3 +112,19 @@ def test_neighbour_recall(spark):
     for r in nearest(frame, F.col("id") % 100 == 0, k=20, trees=8, leaf=64, enough=4000).collect():
         hits[r.query_id] += r.vec_id in want[r.query_id]
     assert sum(hits.values()) >= 0.9 * 20 * len(want)
+
+
+def test_neighbour_budget_grows_with_the_table(spark, monkeypatch):
+    """A least number of rows that is far too small for either table; what is chosen is well under all rows."""
+    monkeypatch.setattr(neighbours, "VISIT", 8)  # else tables this small are cheapest in one leaf
+    for n in (3000, 12000):
+        rng = np.random.default_rng(7)
+        x = rng.standard_normal((n, 24)) + 1.5 * rng.standard_normal((20, 24))[rng.integers(0, 20, n)]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        step, hits, report = n // 60, 0, {}
+        want = {q: set(np.argsort(-np.where(np.arange(n) == q, -np.inf, x @ x[q]))[:20].tolist()) for q in range(0, n, step)}
+        for r in nearest(frame, F.col("id") % step == 0, k=20, leaf=32, enough=200, report=report).collect():
+            hits += r.vec_id in want[r.query_id]
+        assert hits >= 0.9 * 20 * len(want)
+        assert report["rows"] == n and 200 < report["enough"] < 0.6 * n and n / 2 ** report["depth"] < 0.2 * n and 0.95 <= report["met"] < 1

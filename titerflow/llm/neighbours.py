@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +16,12 @@ from pyspark.sql.window import Window
 from titerflow.llm.common import in_slices, map_arrow, written
 
 
+#: Taking a query to one more leaf costs about as much as comparing it with so many rows.
+VISIT = 1024
+#: Vector components of a leaf at most when leaves are made larger.
+LEAF_VALUES = 4_000_000
+
+
 @dataclass
 class Forest:
     """Trees in heap order.  All nodes of one depth of a tree share a random direction; each has its own cut."""
@@ -39,8 +47,8 @@ class Forest:
             node = 2 * node + 1 + (p[:, :, level] > self.cuts[tree, node])
         return node - (2**self.depth - 1)
 
-    def search(self, projections: np.ndarray, sizes: np.ndarray, enough: int) -> list[tuple[int, int]]:
-        """Leaves (tree, leaf) for one query, best first over all trees, until they hold ``enough`` rows.
+    def visits(self, projections: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """All leaves with rows for one query, best first over all trees: tree, leaf, rows in the leaves before.
 
         The queue's key is the smallest margin by which the query missed a cut on the way, as it is shared by
         all trees the most doubtful decision anywhere is revised next.
@@ -48,8 +56,8 @@ class Forest:
         inner = 2**self.depth - 1
         queue = [(-math.inf, t, 0, 0) for t in range(len(self.cuts))]
         heapq.heapify(queue)
-        out, seen = [], 0
-        while queue and seen < enough:
+        seen = 0
+        while queue:
             worst, t, node, level = heapq.heappop(queue)
             while node < inner:
                 gap = projections[t, level] - self.cuts[t, node]
@@ -58,10 +66,34 @@ class Forest:
                 node, level = near, level + 1
             leaf = node - inner
             if sizes[t, leaf]:
-                out.append((t, leaf))
+                yield t, leaf, seen
                 seen += int(sizes[t, leaf])
+
+    def search(self, projections: np.ndarray, sizes: np.ndarray, enough: int) -> list[tuple[int, int]]:
+        """Leaves (tree, leaf) for one query, best first, until they hold ``enough`` rows."""
+        return [(t, n) for t, n, _ in itertools.takewhile(lambda visit: visit[2] < enough, self.visits(projections, sizes))]
+
+    def needed(self, projections: np.ndarray, sizes: np.ndarray, homes: np.ndarray) -> list[int]:
+        """For each row of ``homes`` (its leaf in every tree) the least ``enough`` with which a search meets it."""
+        lost = {}
+        for i, row in enumerate(homes):
+            for place in enumerate(row.tolist()):
+                lost.setdefault(place, set()).add(i)
+        out = [0] * len(homes)
+        left = len(homes)
+        for t, n, seen in self.visits(projections, sizes) if left else ():
+            for i in lost.get((t, n), ()):
+                if not out[i]:
+                    out[i] = seen + 1
+                    left -= 1
+            if not left:
+                break
         return out
 
+    def cut_at(self, depth: int) -> Forest:
+        """The same trees with fewer levels."""
+        return Forest(self.directions[:, :depth], self.cuts[:, : 2**depth - 1])
+
 
 def grow_forest(sample: np.ndarray, n_rows: int, dimension: int, trees: int, leaf: int, seed: int) -> Forest:
     """Cuts at the medians of the sample; as deep as ``n_rows`` rows need for leaves of about ``leaf`` rows."""
@@ -102,9 +134,72 @@ def usable_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("v") == (top[0]["k"] if top else 0))
 
 
+def _fit_budget(
+    forest: Forest, sizes: np.ndarray, indexed: DataFrame, classes: DataFrame, ids: DataFrame, asked: DataFrame,
+    k: int, enough: int, aim: float, probes: int, dimension: int,
+) -> dict:
+    """Depth, rows to see and share met, by the true neighbours of a few queries.
+
+    A probe's true neighbours come from one pass over all vectors; how many rows a search sees before it meets
+    each is counted, for all depths at once, so the budget that meets the share ``aim`` is read off.
+    """
+    picked = asked.orderBy(F.xxhash64(F.lit("probe"), "id"), "id").limit(probes).toArrow().combine_chunks()
+    if not picked.num_rows:
+        return {}
+    names = picked["id"].to_numpy()
+    x = np.asarray(picked["v"].combine_chunks().flatten(), float).reshape(len(names), -1)
+    known = np.arange(len(names))[:, None]
+
+    def compare(batches):
+        best, reps = np.zeros((len(names), 0)), np.zeros((len(names), 0), np.int64)
+        for batch in in_slices(batches, 4096):
+            best = np.hstack([best, x @ _matrix(batch, 1).T])
+            reps = np.hstack([reps, np.broadcast_to(batch.column(0).to_numpy(), (len(names), batch.num_rows))])
+            if best.shape[1] > k + 1:
+                top = np.argpartition(-best, k, axis=1)[:, : k + 1]
+                best, reps = best[known, top], reps[known, top]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(names, best.shape[1])), pa.array(reps.ravel()), pa.array(best.ravel())], names=["query_id", "rep", "rough"]
+        )
+
+    close = map_arrow(classes.select("rep", "v"), compare, "query_id bigint, rep bigint, rough double")
+    first = Window.partitionBy("query_id")
+    close = close.withColumn("r", F.row_number().over(first.orderBy(F.desc("rough"), "rep"))).where(F.col("r") <= k + 1)
+    true = close.join(ids, "rep").where("query_id != id")
+    true = true.withColumn("r", F.row_number().over(first.orderBy(F.desc("rough"), "id"))).where(F.col("r") <= k)
+    true = written(true.select("query_id", "rep", "id"))
+    homes = true.join(indexed.select("rep", "tree", "leaf"), "rep").select("query_id", "id", "tree", "leaf")
+    trees, rows = len(sizes), int(sizes[0].sum())
+    depths = [d for d in range(forest.depth, -1, -1) if d == forest.depth or rows / 2**d * dimension <= LEAF_VALUES]
+    where = {int(n): i for i, n in enumerate(names)}
+
+    def count(group: pa.Table) -> pa.Table:
+        query = x[where[group["query_id"][0].as_py()]]
+        p = forest.project(np.append(query, 0.0)[None, :])[0]
+        _, at = np.unique(group["id"].to_numpy(), return_inverse=True)
+        own = np.zeros((at.max() + 1, trees), np.int64)
+        own[at, group["tree"].to_numpy()] = group["leaf"].to_numpy()
+        out = [forest.cut_at(d).needed(p, sizes.reshape(trees, 2**d, -1).sum(axis=2), own >> (forest.depth - d)) for d in depths]
+        return pa.table({"depth": np.repeat(depths, len(own)), "rows": np.concatenate(out)})
+
+    met = homes.groupBy("query_id").applyInArrow(count, "depth bigint, rows bigint").toArrow().combine_chunks()
+    if not met.num_rows:
+        return {}
+    level, seen = met["depth"].to_numpy(), met["rows"].to_numpy()
+    choices = []
+    for d in depths:
+        found = np.sort(seen[level == d])
+        budget = max(enough, int(found[math.ceil(aim * len(found)) - 1]))
+        leaf = rows / 2**d  # the last one counts whole
+        choices.append(((budget + leaf) * (1 + VISIT / leaf), -d, budget, float((found <= budget).mean())))
+    _, d, budget, share = choices[0] if choices[0][2] == enough else min(choices)
+    return {"depth": -d, "enough": budget, "met": share}
+
+
 def nearest(
     vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
     trees: int = 16, leaf: int = 512, enough: int = 40_000, sample: int = 200_000, seed: int = 11, block: int = 2048,
+    aim: float = 0.95, probes: int = 256, report: dict | None = None,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row where ``is_query`` (over the column ``id``) its ``k`` rows of
     largest inner product found, best first, ties to the smaller id, itself left out.
@@ -115,6 +210,11 @@ def nearest(
     all trees until they hold ``enough`` rows, counted in each tree (if there are no more, this is exact), and
     the rows in them are ranked exactly in double precision.
 
+    ``enough`` is a least number.  Where it is less than all rows, ``probes`` queries picked by hash are compared
+    with every row, and it grows until searches meet the share ``aim`` of these queries' true neighbours.  Then
+    leaves may become larger too, whichever depth compares and ships least.  ``report`` takes what was chosen:
+    rows (different vectors), depth, enough, and the share of the probes' true neighbours met (None if exact).
+
     Equal vectors are indexed once and stand for their ``k + 1`` smallest ids, which is all that any query
     can return of them; a leaf asked for by many queries is searched in blocks of about ``block`` queries.
     Null ids and vectors that are null, zero, of another dimension or hold null or non-finite components take
@@ -154,6 +254,18 @@ def nearest(
     for r in indexed.groupBy("tree", "leaf").count().collect():  # as many as the forest has leaves
         sizes[r["tree"], r["leaf"]] = r["count"]
 
+    asked = rows.where(is_query).select("id", "v")
+    fitted = {"rows": stats["n"], "depth": forest.depth, "enough": enough, "met": None}
+    if enough < trees * stats["n"]:
+        fitted |= _fit_budget(forest, sizes, indexed, classes, ids, asked, k, enough, aim, probes, base.shape[1])
+    enough, full_depth = fitted["enough"], forest.depth
+    if report is not None:
+        report.update(fitted)
+    if fitted["depth"] < full_depth:
+        forest = forest.cut_at(fitted["depth"])
+        sizes = sizes.reshape(trees, 2**forest.depth, -1).sum(axis=2)
+        indexed = indexed.withColumn("leaf", F.shiftright("leaf", full_depth - forest.depth))
+
     def visit(batches):
         for batch in in_slices(batches, 1024):
             x = _matrix(batch, 1)
@@ -167,7 +279,6 @@ def nearest(
                 names=["tree", "leaf", "id", "v"],
             )
 
-    asked = rows.where(is_query).select("id", "v")
     visits = written(map_arrow(asked, visit, "tree int, leaf bigint, id bigint, v array<double>"))
     blocks = written(visits.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
     parts = blocks.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"))
