@@ -67,6 +67,14 @@ def test_tricky_rows(spark, tricky):
     assert sorted(map(tuple, got), key=str) == plain(rows, 3, 85)
 
 
+def test_ids_that_repeat_with_texts_of_other_ids(documents):
+    a, b, c = prose(80, 21), prose(80, 22), prose(80, 23)
+    frames = [[(1, a), (5, a), (5, b), (9, edited(b, 1, 1))], [(3, c), (20, c), (20, ""), (30, edited(c, 1, 2))]]
+    for rows in [*frames, frames[0] + frames[1] + [(None, a), (5, a), (9, None)]]:
+        got = neardup.near_duplicates(documents([(i, t, "en", "a") for i, t in rows]), words=3, percent=85).collect()
+        assert sorted(map(tuple, got), key=str) == plain(rows, 3, 85)
+
+
 def test_empty_table(documents):
     assert neardup.near_duplicates(documents([])).collect() == []
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from titerflow.llm.common import ID, arrow_lists, in_slices, map_arrow, views, with_key, written
+from titerflow.llm.common import arrow_lists, in_slices, map_arrow, views, written
 from titerflow.llm.components import connected_components
 from titerflow.llm.words import shingle_set
 
@@ -15,6 +15,8 @@ BANDS, ROWS = 32, 5
 SIGNATURE_SLACK = 0.2
 #: Members of a bucket that are still compared by a plain join, and shingles of one block of a larger one.
 FEW, BLOCK = 24, 500_000
+#: Columns that tell different shingle sets apart.
+DIGESTS = ("n_shingles", "d1", "d2")
 
 
 def _hash_parameters(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,10 +183,12 @@ def near_duplicates(
     reps = written(
         full.groupBy("n_shingles", "d1", "d2").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"))
     )
-    texts = with_key(docs, id_col, text_col).select(F.col(ID).alias("id"), F.col(text_col).alias("text"))
-    # An id with several texts stands for one set at a time: give each (id, set) its own node.
-    many = reps.groupBy("id").count().where("count > 1").limit(1).count() > 0
-    if many:
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    # An id with several sets, the empty one among them, stands for one set at a time: give each (id, text) its own node.
+    ends = [f(c).alias(n + c) for c in DIGESTS for n, f in (("l", F.min), ("h", F.max))]
+    sets_of = sig.where("id is not null").groupBy("id").agg(*ends)
+    differ = " or ".join(f"l{c} != h{c}" for c in DIGESTS)
+    if sets_of.where(differ).limit(1).count() > 0:
         return _repeated_ids(docs, id_col, text_col, words, percent, bands, rows)
     k = bands * rows
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * rows + 1, rows))))
