@@ -25,14 +25,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near duplicates: five-word shingles, similarity 0.8.
 
-    A row without an id stays; rows that repeat id and text stay once.
+    A row without an id stays.  An id stands for one document: of several rows with it the one with the longest text
+    stays, of these the one whose text, then whose other columns (maps aside) sort first.
     """
     kept = near_duplicates(docs, words=5, percent=80).where("kept").select(F.col("doc_id").alias(ID)).distinct()
     keyed = with_key(docs, "doc_id", "text")
     held = keyed.join(kept, same(keyed, kept, ID), "left_semi")
     repeats = keyed.groupBy(ID).count().where(f"count > 1 and {ID} is not null").limit(1).count() > 0
     if repeats:  # an id that stands for several rows leaves one of them
-        one = held.where(F.col(ID).isNotNull()).dropDuplicates([ID])
+        others = [c for c, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))]
+        order = F.struct((-F.coalesce(F.length("text"), F.lit(-1))).alias("short"), F.struct("text", *[c for c in others if c != "text"]).alias("row"))
+        chosen = held.where(F.col(ID).isNotNull()).groupBy(ID).agg(F.min_by(F.struct(*held.columns), order).alias("kept"))
+        one = chosen.select("kept.*")
         held = one.unionByName(held.where(F.col(ID).isNull()))
     return held.select(*docs.columns)
 

@@ -40,3 +40,10 @@ def test_stages_keep_rows_without_ids_and_empty_tables(spark, tricky):
     for _, stage in pipeline.STAGES:
         assert stage(spark, tricky.limit(0).select("doc_id", "text", "lang", "source", "n_chars"), SF).collect() == []
         assert stage(spark, tricky, SF).count() > 0
+
+
+def test_row_that_stays_of_a_repeated_id(spark, documents):
+    rows = [(12, prose(50, 5), "es", "b"), (12, prose(50, 5), "es", "a"), (12, prose(40, 6), "en", "a"), (12, None, "en", "a"), (14, "", "en", "a"), (14, None, "en", "a")]
+    for given in (rows, rows[::-1]):
+        kept = pipeline.near_dedup(spark, documents(given).coalesce(1), SF).collect()
+        assert sorted((r.doc_id, r.text, r.source) for r in kept) == [(12, prose(50, 5), "a"), (14, "", "a")]
