@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from titerflow.llm import neighbours
+from titerflow.llm import licences, neighbours
 from titerflow.llm.contamination import contaminated, decontaminated
 from titerflow.llm.licences import licence_scan
 from titerflow.llm.neighbours import nearest
@@ -128,3 +128,14 @@ def test_neighbour_budget_grows_with_the_table(spark, monkeypatch):
             hits += r.vec_id in want[r.query_id]
         assert hits >= 0.9 * 20 * len(want)
         assert report["rows"] == n and 200 < report["enough"] < 0.6 * n and n / 2 ** report["depth"] < 0.2 * n and 0.95 <= report["met"] < 1
+
+
+def test_licence_key_phrase_alone_is_found():
+    """With words outside the key phrases rarer than those inside."""
+    vocabulary = np.unique(np.concatenate([licences._hashes(t.text) for t in licences.NOTICES]))
+    for own, template in enumerate(licences.NOTICES):
+        key = np.searchsorted(vocabulary, licences._hashes(template.key))
+        frequency = np.zeros(len(vocabulary), np.int64)
+        frequency[key] = 9
+        index = licences.build_index(licences.NOTICES, vocabulary, frequency, 4)
+        assert own in licences._found(key, np.arange(len(key)), index)

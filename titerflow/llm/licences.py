@@ -94,9 +94,10 @@ class Index:
 
 
 def build_index(templates, vocabulary: np.ndarray, frequency: np.ndarray, rare: int) -> Index:
-    """A template's postings are its ``rare`` words of highest IDF, the rarest of its key phrase first.
+    """A template's postings are ``rare`` of its words: the two rarest of its key phrase, then those of highest IDF.
 
-    A base phrase has one: each of its places holds that word.  Others need two at the same relative place.
+    A base phrase has one: each of its places holds that word.  Others need two at the same relative place, which
+    every place of the key phrase has, whatever the other words are.
     """
     words, keys, need, postings = [], [], [], {}
     for t, template in enumerate(templates):
@@ -104,13 +105,13 @@ def build_index(templates, vocabulary: np.ndarray, frequency: np.ndarray, rare:
         k = np.searchsorted(vocabulary, _hashes(template.key))
         start = next(i for i in range(len(w)) if np.array_equal(w[i : i + len(k)], k))
         in_key = sorted(range(start, start + len(k)), key=lambda i: (frequency[w[i]], i))
-        others = sorted((i for i in range(len(w)) if i != in_key[0]), key=lambda i: (frequency[w[i]], i))
-        used = [in_key[0]] + ([] if template.base else others[: rare - 1])
+        others = sorted((i for i in range(len(w)) if i not in in_key[:2]), key=lambda i: (frequency[w[i]], i))
+        used = in_key[:1] if template.base else in_key[:2] + others[: max(rare - 2, 0)]
         for i in used:
             postings.setdefault(int(w[i]), []).append((t, i))
         words.append(w)
         keys.append((start, start + len(k)))
-        need.append(min(2, len(used)))
+        need.append(1 if template.base else min(2, len(k)))
     return Index(words, keys, need, postings)
 
 
