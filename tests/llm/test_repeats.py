@@ -1,7 +1,9 @@
 import re
 
+import pytest
+
 from tests.llm.conftest import prose
-from titerflow.llm.repeats import remove_repeats
+from titerflow.llm.repeats import later_spans, remove_repeats
 
 
 def plain(rows, n=20):
@@ -50,3 +52,8 @@ def test_repeats_are_maximal_ranges(documents):
 
 def test_empty_table(documents):
     assert remove_repeats(documents([])).collect() == []
+
+
+def test_windows_too_wide_to_pack_are_refused(documents):
+    with pytest.raises(ValueError):
+        later_spans(documents([]), window=264, seed=8)

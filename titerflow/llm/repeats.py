@@ -95,6 +95,8 @@ def _window_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 def later_spans(keyed: DataFrame, window: int = 20, seed: int = SEED) -> DataFrame:
     """``id, sub, start, stop``: word ranges of ``keyed`` (id, sub, text) all of whose windows also start earlier."""
+    if window - seed > 255:
+        raise ValueError("window - seed has to be 255 at most: distances are packed into 8 bits")
     occurrences = seed_rows(keyed, window, seed)
     shared = written(occurrences.groupBy("seed").count().where("count > 1").select("seed"))
     hits = written(occurrences.join(shared, "seed", "left_semi"))
