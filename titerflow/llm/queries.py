@@ -15,9 +15,12 @@ from titerflow.llm.mixing import mixture
 from titerflow.llm.neardup import near_duplicates
 from titerflow.llm.neighbours import nearest
 from titerflow.llm.quality import quality_scores
+from titerflow.llm.ranked import ranked_search
 from titerflow.llm.repeats import remove_repeats
 from titerflow.llm.sql_forms import FORMS
 from titerflow.llm.tokens import tokenized
+from titerflow.llm.variants import spelling_variants
+from titerflow.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = dict(FORMS)
@@ -103,3 +106,20 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+    return best.select("item_id", "rank", "doc_id", "score")
+
+
+@query
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archived(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))

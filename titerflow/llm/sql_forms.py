@@ -66,9 +66,51 @@ n AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
+#: Scores in whole numbers; ``//`` rounds down.
+OP11 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_folded('text')}, '{LETTERS}') AS w FROM documents),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, term, any_value(n) AS n, count(*) AS tf FROM t GROUP BY doc_id, term),
+c AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p CROSS JOIN c GROUP BY term),
+i AS (SELECT item_id, term, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all({_folded('text')}, '{LETTERS}')) AS term FROM benchmark) GROUP BY item_id, term),
+s AS (SELECT item_id, doc_id, CAST(sum(q * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms))))) AS BIGINT) AS score
+      FROM i JOIN p USING (term) JOIN df USING (term) CROSS JOIN c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY rank <= 10"""
+
+OP12 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
+
+#: The checksum byte by byte, then words joined by what they leave when one letter goes.
+OP13 = f"""
+WITH RECURSIVE k AS (SELECT list(list_reduce(range(0, 8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(0, 256) AS r(b)),
+o AS (SELECT doc_id, unnest(regexp_extract_all({_folded('text')}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS x FROM o WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+        lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295)) AS h FROM d CROSS JOIN k),
+m AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+e AS (SELECT a.word, b.word AS other, b.n FROM g a JOIN g b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+      UNION SELECT g.word, w.word, w.n FROM g JOIN w ON w.word = g.less UNION SELECT w.word, g.word, g.n FROM g JOIN w ON w.word = g.less),
+b AS (SELECT word, count(*) AS n_near, max(n) AS top FROM e GROUP BY word),
+f AS (SELECT word, min(other) AS form FROM e JOIN b USING (word) WHERE n = top GROUP BY word),
+v AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * w.n THEN form END AS form, CASE WHEN top >= 10 * w.n THEN top END AS form_n
+      FROM w LEFT JOIN b USING (word) LEFT JOIN f USING (word)),
+r AS (SELECT word, word AS root, 0 AS step FROM v UNION ALL SELECT r.word, v.form, step + 1 FROM r JOIN v ON v.word = r.root AND v.form IS NOT NULL),
+z AS (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM v JOIN z USING (word)"""
+
 FORMS = {
     "op1_minhash_near_dedup": OP1,
     "op2_chat_formatting": OP2,
     "op5_benchmark_decontamination": OP5,
     "op10_substring_dedup": OP10,
+    "op11_ranked_search": OP11,
+    "op12_warc": OP12,
+    "op13_spelling_variants": OP13,
 }
