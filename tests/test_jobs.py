@@ -37,7 +37,7 @@ def test_reduced_split_and_search(spark):
     rows = contract.queries()["reduced_cluster_split"](spark, SF)
     assert rows.groupBy("cluster").agg(F.countDistinct("side").alias("n")).where("n > 1").count() == 0
     search = contract.queries()["random_search"](spark, SF).collect()
-    assert len(search) == 6 and len({r["params"] for r in search}) == 6
+    assert len(search) == 20 and len({r["params"] for r in search}) == 20
 
 
 def test_elastic_net_fits(spark):
