@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from checks.bindings import table
 from checks.registry import query, r, shaped
+from titerflow.models import elastic
 from titerflow.models import estimators as E
 from titerflow.models import native as N
+from titerflow.models.elastic import draw_settings
 from titerflow.operators.splits import random_split
+from titerflow.operators.summaries import cv_summary
 
 ROWS = """
 rows0 AS (
@@ -64,6 +67,46 @@ def _(spark, sf):
     return N.trainable_targets(docs.select(F.col("source").alias("target"), F.col("quality").alias("label")))
 
 
+def _descent(grad: str, bend: float, rounds: int) -> str:
+    """Accelerated gradient descent as SQL: every row's probability at the optimum of a regularised linear model.
+
+    ``grad`` is the slope of a row's loss at the margin f of a row with sign s; ``bend`` bounds its curvature.
+    """
+    return "WITH RECURSIVE " + ROWS.strip() + f""",
+counts AS (SELECT target, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label = 0) AS neg FROM rows0 WHERE side = 'train' GROUP BY target),
+tr AS (SELECT r.target, r.entity, list_append(CAST(r.v AS DOUBLE[]), 1.0) AS z, 2.0 * label - 1 AS s,
+         (pos + neg) / (2.0 * CASE WHEN label = 1 THEN pos ELSE neg END) AS w FROM rows0 r JOIN counts USING (target) WHERE side = 'train'),
+col AS (SELECT target, j, list(z[j] ORDER BY entity) AS c FROM tr CROSS JOIN range(1, 66) AS t(j) GROUP BY target, j),
+lip AS (SELECT target, 1 + {bend} * sum(w * list_dot_product(z, z)) AS l FROM tr GROUP BY target),
+it AS (
+  SELECT target, l, 0 AS i, list_transform(range(0, 65), lambda j: 0.0::DOUBLE) AS b, list_transform(range(0, 65), lambda j: 0.0::DOUBLE) AS a FROM lip
+  UNION ALL
+  SELECT target, l, i + 1, n, list_transform(range(1, 66), lambda j: n[j] + (sqrt(l) - 0.5) / (sqrt(l) + 0.5) * (n[j] - b[j])) FROM (
+    SELECT q.target, any_value(l) AS l, any_value(i) AS i, any_value(b) AS b,
+        list(a[j] - (CASE WHEN j = 65 THEN 0 ELSE a[j] END + list_dot_product(c, g)) / l ORDER BY j) AS n FROM (
+      SELECT it.target, any_value(l) AS l, any_value(i) AS i, any_value(b) AS b, any_value(a) AS a, list(w * ({grad}) ORDER BY entity) AS g
+      FROM (SELECT it.*, tr.entity, tr.w, tr.s, list_dot_product(tr.z, it.a) AS f FROM it JOIN tr ON tr.target = it.target WHERE i < {rounds}) AS it GROUP BY it.target) AS q
+    JOIN col ON col.target = q.target GROUP BY q.target)),
+fin AS (SELECT target, b FROM it WHERE i = {rounds}),
+m AS (SELECT r.target, r.entity, r.side, list_dot_product(list_append(CAST(r.v AS DOUBLE[]), 1.0), b) AS f FROM rows0 r JOIN fin USING (target))
+SELECT target, entity, side, round(greatest(least(1 / (1 + exp(-f)), 1 - 1e-6), 1e-6), 6) AS p FROM m"""
+
+
+LOGIT = _descent("-s / (1 + exp(s * f))", 0.25, 600)
+HINGE = _descent("-2 * s * greatest(0, 1 - s * f)", 2.0, 1500)
+
+
+def _linear(model):
+    def run(spark, sf):
+        return shaped(E.score_rows(rows(spark, sf), model, strategy="class_weight"), "target", "entity", "side", p="num")
+
+    return run
+
+
+query("fit_logistic", LOGIT)(_linear("logit"))
+query("fit_linear_svm", HINGE)(_linear("linear_svm"))
+
+
 def _scored(model, **params):
     def run(spark, sf):
         scored = E.fit_targets(vector_rows(spark, sf), model, strategy="class_weight", **params)[1]
@@ -74,36 +117,124 @@ def _scored(model, **params):
 
 query("fit_random_forest")(_scored("rf", numTrees=100))
 query("fit_boosted_trees")(_scored("gbt", maxIter=20))
-query("fit_logistic")(_scored("logit"))
-query("fit_linear_svm")(_scored("linear_svm"))
 
 
 def regression_rows(spark, sf):
     emb = table(spark, sf, "embeddings")
     v = F.col("embedding").cast("array<double>")
     y = v[0] * 2.0 - v[1] + v[2] * v[3]
-    return E.dense_vectors(emb.select(F.col("vec_id").alias("entity"), v.alias("v"), y.alias("label")))
+    fold = (F.col("vec_id") % 5 + 1).cast("int")
+    return E.dense_vectors(emb.select(F.col("vec_id").alias("entity"), fold.alias("fold"), v.alias("v"), y.alias("label")))
+
+
+def _net_sql(settings: list[tuple[int, float, float]], scaled: bool, parts: str, rounds: int = 400) -> str:
+    """Accelerated proximal gradient descent on each part's own products: fits ``n`` with coefficients ``b`` and intercept ``i0``."""
+    values = ", ".join(f"({i}, {a!r}::DOUBLE, {x!r}::DOUBLE)" for i, a, x in settings)
+    spread = "greatest(stddev_pop(x), 1e-300)" if scaled else "1.0"
+    return f"""WITH RECURSIVE reg AS (SELECT vec_id AS entity, vec_id % 5 + 1 AS fold, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+y AS (SELECT *, v[1] * 2 - v[2] + v[3] * v[4] AS y FROM reg),
+part AS ({parts}),
+tr AS (SELECT held, entity, v, y.y FROM y JOIN part ON y.fold <> part.held),
+my AS (SELECT held, avg(y) AS my, count(*) AS n FROM tr GROUP BY held),
+st AS (SELECT held, j, avg(x) AS m, {spread} AS sd FROM (SELECT held, j, v[j] AS x FROM tr CROSS JOIN range(1, 65) AS t(j)) GROUP BY held, j),
+col AS (SELECT tr.held, st.j, any_value(m) AS m, any_value(sd) AS sd, list((v[st.j] - m) / sd ORDER BY entity) AS c, list(tr.y - my ORDER BY entity) AS yc
+        FROM tr JOIN st ON st.held = tr.held JOIN my ON my.held = tr.held GROUP BY tr.held, st.j),
+gram AS (SELECT a.held, a.j, list(list_dot_product(a.c, b.c) / len(a.c) ORDER BY b.j) AS g, any_value(list_dot_product(a.c, a.yc)) / any_value(len(a.c)) AS t
+         FROM col a JOIN col b ON a.held = b.held GROUP BY a.held, a.j),
+lip AS (SELECT held, sum(g[j]) AS tr FROM gram GROUP BY held),
+s AS (SELECT * FROM (VALUES {values}) AS d(draw, alpha, l1)),
+it AS (
+  SELECT draw, held, alpha, l1, tr + alpha * (1 - l1) AS l, 0 AS i, list_transform(range(0, 64), lambda j: 0.0::DOUBLE) AS b, list_transform(range(0, 64), lambda j: 0.0::DOUBLE) AS a
+  FROM s CROSS JOIN lip
+  UNION ALL
+  SELECT draw, held, alpha, l1, l, i + 1, n, list_transform(range(1, 65), lambda j: n[j] + 0.85 * (n[j] - b[j])) FROM (
+    SELECT draw, held, any_value(alpha) AS alpha, any_value(l1) AS l1, any_value(l) AS l, any_value(i) AS i, any_value(b) AS b,
+        list(sign(u) * greatest(abs(u) - alpha * l1 / l, 0) ORDER BY j) AS n FROM (
+      SELECT draw, it.held, alpha, l1, l, i, b, j, a[j] - (list_dot_product(g, a) - t + alpha * (1 - l1) * a[j]) / l AS u FROM it JOIN gram ON gram.held = it.held WHERE i < {rounds})
+    GROUP BY draw, held)),
+fin AS (SELECT draw, it.held, any_value(alpha) AS alpha, any_value(l1) AS l1, list(b[j] / sd ORDER BY j) AS b, any_value(my) - sum(b[j] / sd * m) AS i0, any_value(n) AS n
+        FROM it JOIN st ON st.held = it.held JOIN my ON my.held = it.held WHERE i = {rounds} GROUP BY draw, it.held)"""
+
 
+FOLDS = "SELECT unnest(range(1, 6)) AS held"
+SETTINGS = draw_settings(20, 42)
 
-@query("fit_elastic_net")
+
+@query("fit_elastic_net", _net_sql([(0, 0.01, 0.5)], False, "SELECT 1 AS held", 3000) + """
+SELECT entity, round(y, 6) + 0.0 AS truth, round(list_dot_product(v, b) + i0, 6) + 0.0 AS predicted FROM y CROSS JOIN fin WHERE fold = 1""")
 def _(spark, sf):
     data = regression_rows(spark, sf)
-    model = E.fit_elastic_net(data.where("entity % 5 <> 0"), 0.01, 0.5)
-    scored = model.transform(data.where("entity % 5 = 0").withColumn("weight", F.lit(1.0)))
-    return scored.select("entity", r("label").alias("truth"), r("prediction").alias("predicted"))
+    model = elastic.elastic_net(data.where("entity % 5 <> 0"), 0.01, 0.5)
+    scored = elastic.predict(model, data.where("entity % 5 = 0"))
+    return scored.select("entity", r("label").alias("truth"), r("predicted").alias("predicted"))
+
+
+@query("random_search", _net_sql(SETTINGS, True, FOLDS) + """,
+e AS (SELECT draw, held, alpha, l1, y.y, y.y - list_dot_product(v, b) - i0 AS e FROM fin JOIN y ON y.fold = fin.held),
+f AS (SELECT draw, held, any_value(alpha) AS alpha, any_value(l1) AS l1, 1 - sum(e * e) / (var_pop(y) * count(*)) AS r2 FROM e GROUP BY draw, held)
+SELECT CAST(draw AS INT) AS draw, round(any_value(alpha), 6) AS alpha, round(any_value(l1), 6) AS l1_ratio, round(avg(r2), 6) + 0.0 AS cv_r2_mean, round(stddev_pop(r2), 6) + 0.0 AS cv_r2_std
+FROM f GROUP BY draw""")
+def _(spark, sf):
+    result = E.random_search(regression_rows(spark, sf), "elastic_net", n_iter=20, folds=5)[1]
+    return shaped(result, "draw", alpha="num", l1_ratio="num", cv_r2_mean="num", cv_r2_std="num")
+
+
+@query("elastic_net_folds", _net_sql(SETTINGS, True, FOLDS) + """
+SELECT CAST(draw AS INT) AS draw, CAST(held AS INT) AS fold, CAST(n AS BIGINT) AS n_train, j, round(b[j], 5) + 0.0 AS coefficient FROM fin CROSS JOIN range(1, 65) AS t(j)""")
+def _(spark, sf):
+    fits = elastic.search_elastic_net(regression_rows(spark, sf), 20, 5)[2]
+    long = fits.select("draw", "fold", F.col("n_train").cast("bigint").alias("n_train"), F.posexplode("coefficients").alias("j", "b"))
+    return long.select("draw", "fold", "n_train", (F.col("j") + 1).cast("bigint").alias("j"), r("b", 5).alias("coefficient"))
+
+
+#: Naive Bayes for the split (held 0) and five folds, columns standardised on each training set.
+FOLDED = "WITH " + ROWS.strip() + """,
+fr AS (SELECT *, CAST(floor(entity / 3) AS BIGINT) % 5 + 1 AS fold FROM rows0),
+h AS (SELECT unnest(range(0, 6)) AS held),
+tr AS (SELECT h.held, fr.* FROM fr JOIN h ON CASE WHEN held = 0 THEN side = 'train' ELSE fold <> held END),
+sc AS (SELECT held, j, stddev_pop(v[j]) AS sd FROM (SELECT DISTINCT held, entity, v FROM tr) CROSS JOIN range(1, 65) AS t(j) GROUP BY held, j),
+ce AS (SELECT held, target, label, j, CAST(v[j] AS DOUBLE) AS x FROM tr CROSS JOIN range(1, 65) AS t(j)),
+st AS (SELECT held, target, label, j, avg(x) AS m, var_pop(x) AS s FROM ce GROUP BY ALL),
+ep AS (SELECT held, target, 0.01 * max(q / (sd * sd)) AS e FROM (SELECT held, target, j, var_pop(x) AS q FROM ce GROUP BY ALL) JOIN sc USING (held, j) GROUP BY held, target),
+pr AS (SELECT held, target, label, count(*) AS n FROM tr GROUP BY ALL),
+ll AS (SELECT st.held, fr.target, fr.entity, st.label AS c, sum(-0.5 * ln(s + e * sd * sd) - (v[j] - m) * (v[j] - m) / (2 * (s + e * sd * sd))) + ln(any_value(pr.n)) AS l
+       FROM fr JOIN st ON st.target = fr.target AND (st.held = 0 OR st.held = fr.fold) JOIN sc USING (held, j) JOIN ep ON ep.held = st.held AND ep.target = st.target
+       JOIN pr ON pr.held = st.held AND pr.target = st.target AND pr.label = st.label GROUP BY st.held, fr.target, fr.entity, st.label),
+sp AS (SELECT a.held, a.target, a.entity, fr.label, 1 / (1 + exp(a.l - b.l)) AS p,
+         CASE WHEN a.held > 0 THEN 'Fold_' || a.held WHEN side = 'train' THEN 'Train_Train' ELSE 'Train_Test' END AS split
+       FROM ll a JOIN ll b ON a.held = b.held AND a.target = b.target AND a.entity = b.entity AND a.c = 0 AND b.c = 1 JOIN fr ON fr.target = a.target AND fr.entity = a.entity),
+rk AS (SELECT *, rank() OVER (PARTITION BY target, split ORDER BY p) + (count(*) OVER (PARTITION BY target, split, p) - 1) / 2.0 AS r FROM sp),
+me AS (SELECT target, split, count(*) FILTER (label = 1 AND p >= 0.5) AS tp, count(*) FILTER (label = 0 AND p < 0.5) AS tn,
+         count(*) FILTER (label = 0 AND p >= 0.5) AS fp, count(*) FILTER (label = 1 AND p < 0.5) AS fn,
+         (sum(r) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc FROM rk GROUP BY target, split)"""
+
+
+def folded_rows(spark, sf):
+    return rows(spark, sf).withColumn("fold", (F.floor(F.col("entity") / 3) % 5 + 1).cast("int"))
+
+
+def _folded_grid(spark, sf):
+    return E.run_grid({"raw": folded_rows(spark, sf)}, ["gaussian_nb"], {"fixed": lambda df: df}, folds=5, scaler="standard", smoothing=1e-2)
+
+
+@query("grid_folds", FOLDED + " SELECT target, split, tp, tn, fp, fn, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(auc, 6) AS auc FROM me")
+def _(spark, sf):
+    return shaped(_folded_grid(spark, sf), "target", "split", tp="int", tn="int", fp="int", fn="int", accuracy="num", auc="num")
 
 
-@query("random_search")
+@query("grid_cv_summary", FOLDED + """, t AS (SELECT target, avg(auc) AS a FROM me WHERE split LIKE 'Fold%' GROUP BY target)
+SELECT 'gaussian_nb' AS model, round(avg(a), 6) AS mean, round(stddev_samp(a), 6) AS std, count(*) AS n_targets FROM t""")
 def _(spark, sf):
-    return E.random_search(regression_rows(spark, sf), "elastic_net", n_iter=20, folds=5)[1]
+    folds = _folded_grid(spark, sf).where("split like 'Fold%'")
+    return shaped(cv_summary(folds, "auc", "target", "model", fold="split"), "model", mean="num", std="num", n_targets="int")
 
 
 @query("run_grid")
 def _(spark, sf):
-    every = rows(spark, sf)
+    every = folded_rows(spark, sf)
     sets = {"raw": E.dense_vectors(every), "abs": E.dense_vectors(every.withColumn("v", F.transform("v", F.abs)))}
     splits = {"random": lambda df: random_split(df.drop("side"), by="target"), "fixed": lambda df: df}
-    return E.run_grid(sets, ["gaussian_nb", "logit", "unknown"], splits)
+    return E.run_grid(sets, ["gaussian_nb", "knn", "logit", "linear_svm", "unknown"], splits, "class_weight", folds=5, scaler="standard")
 
 
 @query("save_list_score_models")

@@ -1,7 +1,7 @@
 """Per-target models from Spark ML, random search, full grids, saving and scoring.
 
-An estimator's own training is distributed.  Targets are looped over on the driver by a few threads that
-share one cached feature table; for very many targets use the closed-form models in ``native``.
+A Spark ML estimator's own training is distributed; its targets are looped over on the driver by a few threads that
+share one cached feature table.  The models in ``native``, ``linear`` and ``elastic`` fit all targets in shared jobs.
 """
 from __future__ import annotations
 
@@ -27,6 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from titerflow.functions.columns import clip_probability, link_probability, safe_id
+from titerflow.models import elastic
+from titerflow.models.crossval import fold_predictions, split_metrics, untrained, with_folds
+from titerflow.models.linear import KINDS as LINEAR
+from titerflow.models.linear import fit_linear, score_linear
 from titerflow.models.native import MIN_ROWS, fit_gaussian_nb, knn_probability, score_gaussian_nb, trainable_targets
 from titerflow.operators.metrics import average_precision, by_side, confusion_metrics, rank_auc
 from titerflow.operators.cutoffs import youden_probability
@@ -109,8 +113,17 @@ def fit_targets(
     return models, scored
 
 
-def score_rows(rows: DataFrame, model: str, **kw) -> DataFrame | None:
-    """Probabilities of all rows for any model kind; the closed-form ones need ``v`` and run in one job."""
+def score_rows(rows: DataFrame, model: str, ml: bool = False, **kw) -> DataFrame | None:
+    """Probabilities of all rows for any model kind.
+
+    The closed-form and linear ones need ``v`` and fit all targets together; ``ml`` asks for Spark ML's linear models,
+    one per target in a driver loop.
+    """
+    if model in LINEAR and not ml:
+        strategy = kw.pop("strategy", "none")
+        data = _weighed(rows, model, strategy)
+        fitted = materialize(fit_linear(data, model, strategy="none" if strategy == "upsample" else strategy, **kw))
+        return score_linear(fitted, rows).select("target", "entity", "label", "side", "p")
     if model in NATIVE:
         known = rows.where("side = 'train' AND label IS NOT NULL")
         usable = trainable_targets(known, min_rows=kw.get("min_rows", MIN_ROWS)).select("target")
@@ -145,44 +158,89 @@ def evaluate(scored: DataFrame, by=("target",), cutoff: float | str = 0.5, thres
     return counts.join(auc, on, "left").join(auprc, on, "left")
 
 
-def run_grid(feature_sets: dict[str, DataFrame], models: list[str], splits: dict, strategy: str = "none", cutoff: float | str = 0.5, threshold_on: str = "test",
-             **kw) -> DataFrame:
+def ml_predictions(rows: DataFrame, model: str, folds: int, strategy: str = "none", **kw) -> DataFrame:
+    """``fold_predictions`` for Spark ML's models: each (target, held) pair is one target of ``fit_targets``.
+
+    The driver loops over these pairs; unscaled, as trees do not need it.
+    """
+    wide = rows.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(folds))))
+    trains = F.when(F.col("held") == 0, F.col("side") == "train").otherwise(F.col("fold") != F.col("held"))
+    judged = (F.col("held") == 0) | trains | (F.col("fold") == F.col("held"))
+    wide = wide.where(judged).withColumn("side", F.when(trains, "train").otherwise("test"))
+    wide = wide.withColumn("_of", F.col("target")).withColumn("target", F.concat_ws("|", F.col("held").cast("string"), "target"))
+    scored = fit_targets(wide, model, strategy=strategy, **kw)[1]
+    if scored is None:
+        raise ValueError("no target can be trained")
+    names = wide.select("target", F.col("_of").alias("_name"), "held").distinct()
+    scored = attach(scored, names, "target", "inner").drop("target").withColumnRenamed("_name", "target")
+    split = F.when(F.col("held") == 0, F.when(F.col("side") == "train", "Train_Train").otherwise("Train_Test")).otherwise(F.concat(F.lit("Fold_"), F.col("held").cast("string")))
+    scored = scored.where((F.col("held") == 0) | (F.col("side") == "test"))
+    return scored.withColumn("split", split).select("target", "entity", "label", "split", "held", "p")
+
+
+def run_grid(
+    feature_sets: dict[str, DataFrame], models: list[str], splits: dict, strategy: str = "none", cutoff: float | str = 0.5, threshold_on: str = "test",
+    folds: int = 0, scaler: str | None = None, **kw,
+) -> DataFrame:
     """Features x models x splits; one combination that fails yields one row with its ``error``.
 
-    ``feature_sets`` maps a name to ``(target, entity, label, features, v)`` rows and ``splits`` a name to a
-    function adding ``side``.
+    ``feature_sets`` maps a name to ``(target, entity, label, v)`` rows (``features`` besides for Spark ML's models rf
+    and gbt) and ``splits`` a name to a function adding ``side``.  ``split`` is Train_Train, Train_Test and, with
+    ``folds``, Fold_1 .. Fold_k; ``scaler`` is fitted on each training set.  Targets that cannot be trained have rows
+    without metrics.  Each (features, split) is computed once and shared by all models.
     """
     keys = ["features", "model", "split_method"]
-    predictions, failures = None, None
-    for (fname, rows), (sname, split), model in itertools.product(feature_sets.items(), splits.items(), models):
-        names = dict(zip(keys, (F.lit(fname), F.lit(model), F.lit(sname))))
+    predictions, skipped, failures = None, None, None
+
+    def failed(names, problem):
+        nonlocal failures
+        row = next(iter(feature_sets.values())).sparkSession.range(1).select(F.lit(f"{type(problem).__name__}: {problem}").alias("error")).withColumns(names)
+        failures = row if failures is None else failures.unionByName(row)
+
+    for (fname, rows), (sname, split) in itertools.product(feature_sets.items(), splits.items()):
+        names = {m: dict(zip(keys, (F.lit(fname), F.lit(m), F.lit(sname)))) for m in models}
         try:
-            extra = {} if model in NATIVE else kw
-            part = score_rows(split(rows), model, strategy=strategy, **extra)
-            if part is None:
-                raise ValueError("no target can be trained")
-            # written here, so that a failure stays with its combination
-            part = materialize(part.select("target", "entity", "label", "side", "p").withColumns(names))
-            predictions = part if predictions is None else predictions.unionByName(part)
+            sided = materialize(with_folds(split(rows), folds))
         except Exception as problem:
-            text = f"{type(problem).__name__}: {problem}"
-            part = rows.sparkSession.range(1).select(F.lit(text).alias("error")).withColumns(names)
-            failures = part if failures is None else failures.unionByName(part)
+            for m in models:
+                failed(names[m], problem)
+            continue
+        missing = materialize(untrained(sided, folds))
+        for m in models:
+            try:
+                ml = m not in NATIVE and m not in LINEAR
+                part = ml_predictions(sided, m, folds, strategy, **kw) if ml else fold_predictions(sided, m, folds, scaler, strategy, **kw)
+                # written here, so that a failure stays with its combination
+                part = materialize(part.select("target", "entity", "label", "split", "p").withColumns(names[m]))
+                predictions = part if predictions is None else predictions.unionByName(part)
+            except Exception as problem:
+                failed(names[m], problem)
+                continue
+            empty = missing.select("target", "split", "n_train", *[F.lit(None).cast("double").alias(x) for x in ("accuracy", "f1", "auc", "auprc", "mcc")]).withColumns(names[m])
+            skipped = empty if skipped is None else skipped.unionByName(empty)
     out = None
     if predictions is not None:
         # one evaluation job over the predictions of every combination
-        out = evaluate(predictions, (*keys, "target"), cutoff, threshold_on).withColumn("error", F.lit(None).cast("string"))
-        # a target that cannot be trained still gets a row, with NULL metrics
-        for (fname, rows), (sname, split) in itertools.product(feature_sets.items(), splits.items()):
-            skipped = skipped_targets(split(rows)).withColumns(
-                {"features": F.lit(fname), "split_method": F.lit(sname), "model": F.explode(F.array(*map(F.lit, models)))}
-            )
-            out = out.unionByName(skipped, allowMissingColumns=True)
+        if cutoff == "youden" and threshold_on != "test":
+            sides = predictions.where("split like 'Train%'").withColumn("side", F.when(F.col("split") == "Train_Train", "train").otherwise("test"))
+            folded = predictions.where("split like 'Fold%'")
+            out = evaluate(sides, (*keys, "target"), cutoff, threshold_on).unionByName(split_metrics(folded, (*keys, "target"), 0.5), allowMissingColumns=True)
+        else:
+            out = split_metrics(predictions, (*keys, "target"), cutoff)
+        out = out.withColumn("error", F.lit(None).cast("string")).unionByName(skipped, allowMissingColumns=True)
     if failures is not None:
         out = failures if out is None else out.unionByName(failures, allowMissingColumns=True)
     return out.withColumn("imbalance", F.lit(strategy))
 
 
+def _weighed(rows: DataFrame, model: str, strategy: str) -> DataFrame:
+    """Upsampled training rows where that is the strategy; class weights are the models' own."""
+    if strategy != "upsample":
+        return rows
+    test, train = rows.where("side <> 'train' or label is null"), rows.where("side = 'train' and label is not null")
+    return imbalance(train, strategy, model).drop("weight").unionByName(test)
+
+
 def skipped_targets(rows: DataFrame, min_rows: int = MIN_ROWS, target: str = "target") -> DataFrame:
     """Targets that cannot be trained, as metric rows with NULL metrics."""
     used = (F.col("side") == "train") & F.col("label").isin(0, 1)
@@ -194,38 +252,45 @@ def skipped_targets(rows: DataFrame, min_rows: int = MIN_ROWS, target: str = "ta
     )
 
 
-# Search ranges.
+# Ranges that whole-number settings are drawn from, both ends included.
 SEARCH_SPACE = {
-    "rf_regressor": {"numTrees": [200, 300, 400], "maxDepth": [10, 15, 20], "minInstancesPerNode": [2, 4, 6]},
-    "gbt_regressor": {"maxIter": [20, 50, 100], "maxDepth": [3, 5, 6], "stepSize": [0.01, 0.05, 0.1]},
-    "elastic_net": {"regParam": [0.001, 0.01, 0.1, 1.0], "elasticNetParam": [0.1, 0.3, 0.5, 0.7, 0.9]},
+    "rf_regressor": {"numTrees": (200, 400), "maxDepth": (10, 20), "minInstancesPerNode": (2, 6)},
+    "gbt_regressor": {"maxIter": (20, 100), "maxDepth": (3, 6), "stepSize": (0.01, 0.1)},
 }
 
 
+def draw_params(space: dict[str, tuple], n_iter: int, seed: int) -> list[dict]:
+    """``n_iter`` settings: whole numbers or reals drawn uniformly between the two ends of each range."""
+    drawn = random.Random(seed)
+    return [{n: drawn.randint(*space[n]) if isinstance(space[n][0], int) else drawn.uniform(*space[n]) for n in sorted(space)} for _ in range(n_iter)]
+
+
 def random_search(
-    train: DataFrame, model: str, n_iter: int = 20, folds: int = 5, seed: int = 42, parallelism: int = 4, space: dict | None = None
+    train: DataFrame, model: str, n_iter: int = 20, folds: int = 5, seed: int = 42, parallelism: int = 4, space: dict | None = None, **kw
 ):
-    """Cross-validate ``n_iter`` distinct random settings by R2; returns the fitted model and a result table."""
-    space = space or SEARCH_SPACE[model]
-    names = sorted(space)
-    every = list(itertools.product(*[space[n] for n in names]))
-    drawn = random.Random(seed).sample(every, min(n_iter, len(every)))
+    """Cross-validate ``n_iter`` random settings by R2; returns the best model fitted on all rows and a result table.
+
+    ``elastic_net`` is searched on Gram matrices (``elastic.search_elastic_net``; its model is a row of coefficients);
+    the tree models are Spark ML's, fitted once per setting and fold.
+    """
+    if model == "elastic_net":
+        best, table, _ = elastic.search_elastic_net(train, n_iter, folds, seed, **kw)
+        return best, table
+    drawn = draw_params(space or SEARCH_SPACE[model], n_iter, seed)
     estimator = make_estimator(model, seed=seed)
-    maps = [{estimator.getParam(n): v for n, v in zip(names, values)} for values in drawn]
+    maps = [{estimator.getParam(n): v for n, v in one.items()} for one in drawn]
     evaluator = RegressionEvaluator(metricName="r2", labelCol="label", predictionCol="prediction")
     weighted = pin(train if "weight" in train.columns else train.withColumn("weight", F.lit(1.0)))
     search = CrossValidator(
         estimator=estimator, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, seed=seed, parallelism=parallelism
     ).fit(weighted)
-    results = [
-        (i, json.dumps(dict(zip(names, values))), float(mean), float(std))
-        for i, (values, mean, std) in enumerate(zip(drawn, search.avgMetrics, search.stdMetrics))
-    ]
+    results = [(i, json.dumps(one), float(mean), float(std)) for i, (one, mean, std) in enumerate(zip(drawn, search.avgMetrics, search.stdMetrics))]
     table = train.sparkSession.createDataFrame(results, "draw int, params string, cv_r2_mean double, cv_r2_std double")
     return search.bestModel, table
 
 
 def fit_elastic_net(train: DataFrame, alpha: float = 1.0, l1_ratio: float = 0.5):
+    """Spark ML's elastic net; ``elastic.elastic_net`` needs no iterations over the rows."""
     return make_estimator("elastic_net", regParam=alpha, elasticNetParam=l1_ratio).fit(
         train if "weight" in train.columns else train.withColumn("weight", F.lit(1.0))
     )

@@ -2,14 +2,17 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _pinned: list[DataFrame] = []
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "titerflow", master: str | None = None, **conf) -> SparkSession:
@@ -81,6 +84,20 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, for functions that run inside tasks."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    target = pathlib.Path(tempfile.mkdtemp()) / f"{package.name}_package.zip"
+    with zipfile.ZipFile(target, "w") as bundle:
+        for path in sorted(package.rglob("*.py")):
+            bundle.write(path, path.relative_to(package.parent).as_posix())
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cache a feature table for iterative training; lost blocks are recomputed from lineage."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
