@@ -1,16 +1,23 @@
 """Model queries: closed-form ones against SQL, Spark ML ones by rows."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.bindings import table
+from checks.q_reliability import CONSENSUS, FINE, UNPIVOTED, curve_sql
 from checks.registry import query, r, shaped
+from titerflow.functions.columns import class_lag, std_prob
 from titerflow.models import elastic
 from titerflow.models import estimators as E
 from titerflow.models import native as N
 from titerflow.models.elastic import draw_settings
+from titerflow.operators.reliability import certainty_curves, coverage_comparison, coverage_grid
 from titerflow.operators.splits import random_split
 from titerflow.operators.summaries import cv_summary
+from titerflow.plans import applicability as A
+from titerflow.session import temp_table_path
 
 ROWS = """
 rows0 AS (
@@ -229,6 +236,44 @@ def _(spark, sf):
     return shaped(cv_summary(folds, "auc", "target", "model", fold="split"), "model", mean="num", std="num", n_targets="int")
 
 
+SMOOTHINGS = (1e-9, 1e-3, 1e-2, 0.05, 0.1, 0.2, 0.5, 1.0)
+#: The same rows as FOLDED, one score per smoothing.
+MANY = FOLDED.replace("0.01 * max(q / (sd * sd)) AS e FROM (", "k, k * max(q / (sd * sd)) AS e FROM (SELECT unnest([" + ", ".join(map(repr, SMOOTHINGS)) + "]) AS k) CROSS JOIN (").replace(
+    "GROUP BY held, target),\npr", "GROUP BY held, target, k),\npr").replace("fr.entity, st.label AS c,", "fr.entity, k, st.label AS c,").replace(
+    "GROUP BY st.held, fr.target, fr.entity, st.label)", "GROUP BY st.held, fr.target, fr.entity, st.label, k)").replace(
+    "a.entity, fr.label, 1 /", "a.entity, a.k, fr.label, 1 /").replace("a.entity = b.entity AND a.c = 0", "a.entity = b.entity AND a.k = b.k AND a.c = 0").split(",\nrk AS")[0]
+
+
+def _store(spark, sf):
+    path = temp_table_path(spark, f"predictions-{uuid.uuid4().hex}")
+    models = {f"nb_{k}": ("gaussian_nb", {"smoothing": k}) for k in SMOOTHINGS}
+    return folded_rows(spark, sf), models, path
+
+
+@query("out_of_fold_predictions", MANY + " SELECT target, entity, CAST(held AS INT) AS fold, round(k, 9) AS smoothing, round(p, 6) AS p FROM sp WHERE held > 0")
+def _(spark, sf):
+    data, models, path = _store(spark, sf)
+    first = dict(list(models.items())[:3])
+    A.update_predictions(data.where("target = 'low'"), first, path)  # the second call makes what is missing
+    A.update_predictions(data, models, path)
+    got = A.current_predictions(data, models, path)
+    return shaped(got.withColumn("smoothing", F.round(F.substring("model", 4, 30).cast("double"), 9)), "target", "entity", "fold", "smoothing", p="num")
+
+
+@query("models_to_coverage", MANY + ", scores AS (SELECT target AS lang, entity, label, p FROM sp WHERE held > 0)," + CONSENSUS + "," + UNPIVOTED + "," + curve_sql("threes", "lang, score", "certainty", "p_mean", FINE) + """
+SELECT coverage, round(avg(auc) FILTER (score = 'class_lag'), 6) AS auc_class_lag, round(avg(auc) FILTER (score = 'cons_std'), 6) AS auc_cons_std,
+  round(avg(auc) FILTER (score = 'cons_std_prob'), 6) AS auc_cons_std_prob, count(auc) FILTER (score = 'class_lag') AS valid_class_lag FROM curve GROUP BY coverage""")
+def _(spark, sf):
+    data, models, path = _store(spark, sf)
+    A.update_predictions(data, models, path)
+    rows = A.certain_predictions(A.current_predictions(data, models, path))
+    # both engines compare rounded scores, so that ties are ties in both
+    rows = rows.withColumns({"p_mean": F.round("p_mean", 8), "p_std": F.round("p_std", 8)})
+    rows = rows.withColumns({"class_lag": F.round(class_lag("p_mean"), 7), "cons_std": F.round("p_std", 7), "cons_std_prob": F.round(std_prob("p_mean", "p_std"), 7)})
+    got = coverage_comparison(certainty_curves(rows, "target", coverage_grid(True)))
+    return shaped(got, coverage="int", auc_class_lag="num", auc_cons_std="num", auc_cons_std_prob="num", valid_class_lag="int")
+
+
 @query("run_grid")
 def _(spark, sf):
     every = folded_rows(spark, sf)
@@ -239,10 +284,6 @@ def _(spark, sf):
 
 @query("save_list_score_models")
 def _(spark, sf):
-    import uuid
-
-    from titerflow.session import temp_table_path
-
     path = temp_table_path(spark, f"models-{uuid.uuid4().hex}")
     data = vector_rows(spark, sf)
     models, _ = E.fit_targets(data, "logit")

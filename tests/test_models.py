@@ -167,3 +167,31 @@ def test_settings_are_drawn_from_ranges():
     assert len({a for _, a, _ in drawn}) == 200 and all(0.001 <= a <= 1 and 0.1 <= r <= 0.9 for _, a, r in drawn)
     trees = draw_params(SEARCH_SPACE["rf_regressor"], 50, 1)
     assert all(200 <= t["numTrees"] <= 400 and 10 <= t["maxDepth"] <= 20 for t in trees) and len({t["numTrees"] for t in trees}) > 20
+
+
+def test_prediction_store_makes_only_what_is_missing(spark):
+    import uuid
+
+    from titerflow.plans.applicability import applicability, current_predictions, read_predictions, update_predictions
+    from titerflow.session import temp_table_path
+
+    path = temp_table_path(spark, f"store-{uuid.uuid4().hex}")
+    x, y = made(60, 3)
+    data = [(t, i, int(y[i]), "train", i % 3 + 1, x[i].tolist()) for t in ("a", "b") for i in range(60)] + [("few", 1, 1, "train", 1, [0.0, 0.0, 0.0])]
+    schema = "target string, entity long, label int, side string, fold int, v array<double>"
+    rows = spark.createDataFrame(data, schema)
+    models = {f"m{k}": ("gaussian_nb", {"smoothing": 10.0**-k}) for k in range(8)}
+    some = dict(list(models.items())[:2])
+    assert update_predictions(rows.where("target = 'a'"), some, path, 3, None) == {"m0": 1, "m1": 1}
+    assert update_predictions(rows.where("target <> 'few'"), models, path, 3, None) == {m: 1 if m in some else 2 for m in models}
+    assert set(update_predictions(rows.where("target <> 'few'"), models, path, 3, None).values()) == {0}
+    assert read_predictions(spark, path).count() == spark.read.parquet(path).count() == 2 * 60 * 8
+    # a target that cannot be trained is tried again and leaves nothing
+    assert set(update_predictions(rows, some, path, 3, None).values()) == {1} and current_predictions(rows, models, path, 3, None).count() == 960
+    # a changed label makes new keys for its target alone; the old ones stay out of sight
+    changed = rows.withColumn("label", F.when((F.col("target") == "b") & (F.col("entity") == 5), 1 - F.col("label")).otherwise(F.col("label")))
+    assert current_predictions(changed, some, path, 3, None).count() == 120
+    assert update_predictions(changed.where("target <> 'few'"), some, path, 3, None) == {"m0": 1, "m1": 1}
+    assert current_predictions(changed, some, path, 3, None).count() == 240
+    certain, curves, table = applicability(rows.where("target <> 'few'"), models, path, 3, None)
+    assert certain.count() == 120 and table.count() == 19 and curves.where("auc is not null").count() > 0
