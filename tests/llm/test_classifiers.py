@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from tests.llm.conftest import prose
-from titerflow.llm.language import code_words, language_id
+from titerflow.llm import language
+from titerflow.llm.language import code_words, has_letter, language_id
 from titerflow.llm.quality import STATISTICS, accepted, class_moments, document_statistics, fit_discriminant, quality_scores, statistics
 
 SF = "/root/testdata/sf0.01"
@@ -91,6 +92,21 @@ def test_language_tricky_rows(spark, tricky):
     assert {(r.lang_pred, r.score) for r in nothing.collect()} == {("und", 0.0)}
 
 
+def test_letters_are_unicode_letters():
+    held = lambda text: has_letter(np.frombuffer(text.encode(), np.uint8))
+    assert not any(map(held, ("²", "½", "12 ½", "Ⅷ", "①", "_", "٣", "…", "")))
+    assert all(map(held, ("a", "²é", "½ 語", "ʰ", "ª", "12 ½ ñ")))
+
+
+def test_language_of_long_texts_and_wrong_columns(spark, monkeypatch):
+    docs = [(i, "the of and thing " * n, "en") for i, n in ((0, 3), (1, 5000), (2, 40))] + [(i, "der die und nicht " * n, "de") for i, n in ((3, 3), (4, 5000), (6, 40))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert all(r.lang_pred == dict((d[0], d[2]) for d in docs)[r.doc_id] for r in language_id(frame).collect())
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id(frame)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 8, 40])
 def test_code_words_differ(n):
     code = code_words(n)

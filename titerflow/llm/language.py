@@ -18,7 +18,9 @@ _FOLD = np.full(256, 32, np.uint8)
 _FOLD[65:91] = np.arange(97, 123)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")  # letters, and numerals such as superscripts
+#: Languages that can be learned; more are taken for a mistake in the column.
+MAX_LANGUAGES = 512
 
 
 def grams(text: np.ndarray) -> np.ndarray:
@@ -37,7 +39,7 @@ def has_letter(text: np.ndarray | None) -> bool:
         return False
     if (_FOLD[text] != 32)[text < 128].any():
         return True
-    return _LETTER.search(text.tobytes().decode("utf-8")) is not None
+    return any(m.group().isalpha() for m in _WORDLIKE.finditer(text.tobytes().decode("utf-8")))
 
 
 def code_words(n: int, seed: int = 7) -> np.ndarray:
@@ -119,8 +121,10 @@ def bit_margins(texts: DataFrame, weights: np.ndarray) -> DataFrame:
                     margins.append(np.zeros(bits))
                     continue
                 g = grams(text)
-                total = weights[g].sum(axis=0) if len(g) < 8192 else np.bincount(g, minlength=BUCKETS).astype(np.float32) @ weights
-                margins.append(total.astype(np.float64) / np.sqrt(len(g)))
+                total = np.zeros(bits)
+                for at in range(0, len(g), 8192):
+                    total += weights[g[at : at + 8192]].sum(axis=0, dtype=np.float64)
+                margins.append(total / np.sqrt(len(g)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(letters), arrow_lists(margins, pa.float64())],
                 names=["id", "lang", "letters", "margins"],
@@ -140,12 +144,16 @@ def language_id(
     are decoded by the weighted logistic loss to each code word: ``lang_pred`` has the least, ``score`` is its
     share of exp(-loss), and a document under ``ambiguous_below`` is flagged.
 
-    A null text or one without a letter is ``und`` with score 0, as is everything when nothing could be
+    More than ``MAX_LANGUAGES`` different languages are refused.  A null text or one without a letter (a character of
+    Unicode's category L) is ``und`` with score 0, as is everything when nothing could be
     learned.  Repeated rows get equal results; ids may be null (then never learned from).  Ties go to the
     first language in order.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     train = texts.where(~held_out("id") & F.col("id").isNotNull() & F.col("lang").isNotNull())
+    many = train.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if many > MAX_LANGUAGES:  # a table of counts per language passes through the driver
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col!r}")
     langs, counts = gram_counts(train)
     code = code_words(len(langs))
     weights = bit_weights(counts, code) if langs else np.zeros((BUCKETS, 1), np.float32)
