@@ -25,7 +25,7 @@ DELETE_ONE_IN = 31
 LOWER = [chr(c) for c in range(ord("a"), ord("z") + 1)] + [chr(c) for c in range(0xC0, 0x100)]
 
 #: Words of a part of the trie, and visitors of it, that one group holds, about.
-WORDS, VISITORS = 1 << 14, 1 << 17
+WORDS, VISITORS = 1 << 13, 1 << 14
 #: Words below which a branch of the trie is compared as it is; letters that have a level of their own.
 LEAF, LEVELS = 64, 24
 
