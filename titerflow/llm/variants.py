@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from titerflow.llm.common import in_slices, map_arrow, written
+from titerflow.llm.common import in_slices, map_arrow, views, written
 from titerflow.llm.words import hash_spans
 from titerflow.operators.joins import attach
 
@@ -114,9 +114,18 @@ def count_words(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
 
 def letter_shares(words: DataFrame) -> list[str]:
     """The alphabet, most frequent letter first (equal ones by code point)."""
-    # one row of sums, as wide as the alphabet
-    sums = words.agg(*[F.sum(F.length("word") - F.length(F.translate("word", c, ""))).alias(f"c{i}") for i, c in enumerate(LOWER)]).first()
-    return [LOWER[i] for i in sorted(range(len(LOWER)), key=lambda i: (-(sums[i] or 0), i))]
+
+    def work(batches):
+        count = np.zeros(256, np.int64)
+        for batch in batches:
+            raw = np.concatenate([*views(batch.column(0)), np.zeros(0, np.uint8)])
+            # U+00C0 to U+00FF: the second byte tells the letter, 0x40 below its code point
+            count += np.bincount(np.where(raw >= 0x80, raw.astype(np.int64) + 0x40, raw) * (raw != 0xC3), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(count)], names=["letter", "n"])
+
+    rows = map_arrow(words.select("word"), work, "letter bigint, n bigint").groupBy("letter").agg(F.sum("n").alias("n")).collect()
+    sums = {chr(r["letter"]): r["n"] for r in rows}  # 256 rows
+    return sorted(LOWER, key=lambda c: (-sums.get(c, 0), c))
 
 
 def coarse_groups(letters: list[str], n: int) -> list[str]:
