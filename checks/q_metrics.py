@@ -66,6 +66,14 @@ def _(spark, sf):
     return shaped(cutoffs.f1_cutoff(scored(spark, sf), "target", "label", "p"), "target", threshold="num", f1="num")
 
 
+#: Languages as targets: the sources of the small tables have fewer than the 50 rows that the rule asks for.
+BY_LANG = P.replace("scored AS (SELECT entity, target, lang, label", "scored AS (SELECT entity, lang AS target, label")
+
+
+def scored_by_lang(spark, sf):
+    return scored(spark, sf).drop("target").withColumnRenamed("lang", "target")
+
+
 OPERATING = ROC + """,
 op AS (
   SELECT target, count(*) AS n, count(*) FILTER (label = 1) AS n_active,
@@ -73,28 +81,28 @@ op AS (
     avg(CASE WHEN label = 0 THEN CAST(p > 0.3 AS INT) END) AS false_exclusion_at,
     avg(CASE WHEN p <= 0.3 THEN CAST(label = 0 AS INT) END) AS npv_at,
     avg(CASE WHEN label = 1 THEN CAST(p > 0.3 AS INT) END) AS sensitivity_at
-  FROM scored GROUP BY target HAVING count(*) >= 15),
+  FROM scored GROUP BY target HAVING count(*) >= 50),
 opj AS (
   SELECT op.*, CASE WHEN pos = 0 OR neg = 0 THEN 0.5 WHEN j <= 0 THEN top + 1 ELSE p END AS threshold,
          CAST(0.3 <= CASE WHEN pos = 0 OR neg = 0 THEN 0.5 WHEN j <= 0 THEN top + 1 ELSE p END AS BIGINT) AS is_conservative
   FROM op JOIN jmax USING (target))"""
 
 
-@query("operating_point", P + "," + OPERATING + """
+@query("operating_point", BY_LANG + "," + OPERATING + """
 SELECT target, n, n_active, round(specificity_at, 6) AS specificity_at, round(false_exclusion_at, 6) AS false_exclusion_at,
        round(npv_at, 6) AS npv_at, round(sensitivity_at, 6) AS sensitivity_at, round(threshold, 6) AS threshold, is_conservative FROM opj""")
 def _(spark, sf):
-    got = cutoffs.operating_point(scored(spark, sf), "target", "label", "p", 0.3, 15)
+    got = cutoffs.operating_point(scored_by_lang(spark, sf), "target", "label", "p", 0.3, 50)
     return shaped(got, "target", n="int", n_active="int", specificity_at="num", false_exclusion_at="num", npv_at="num",
                   sensitivity_at="num", threshold="num", is_conservative="int")
 
 
-@query("cutoff_summary", P + "," + OPERATING + """
+@query("cutoff_summary", BY_LANG + "," + OPERATING + """
 SELECT count(*) AS n_targets, round(avg(threshold), 6) AS mean_threshold, round(stddev_samp(threshold), 6) AS std_threshold,
        round(min(threshold), 6) AS min_threshold, round(max(threshold), 6) AS max_threshold, count(*) FILTER (is_conservative = 1) AS n_conservative,
        round(avg(sensitivity_at), 6) AS mean_sensitivity, round(avg(specificity_at), 6) AS mean_specificity, round(avg(npv_at), 6) AS mean_npv FROM opj""")
 def _(spark, sf):
-    got = cutoffs.cutoff_summary(cutoffs.operating_point(scored(spark, sf), "target", "label", "p", 0.3, 15))
+    got = cutoffs.cutoff_summary(cutoffs.operating_point(scored_by_lang(spark, sf), "target", "label", "p", 0.3, 50))
     return shaped(got, n_targets="int", mean_threshold="num", std_threshold="num", min_threshold="num", max_threshold="num",
                   n_conservative="int", mean_sensitivity="num", mean_specificity="num", mean_npv="num")
 

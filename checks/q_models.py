@@ -123,7 +123,7 @@ def _scored(model, **params):
 
 
 query("fit_random_forest")(_scored("rf", numTrees=100))
-query("fit_boosted_trees")(_scored("gbt", maxIter=20))
+query("fit_boosted_trees")(_scored("gbt"))
 
 
 def regression_rows(spark, sf):

@@ -122,19 +122,19 @@ def _(spark, sf):
 
 
 @query("reliability_by_target", P + """,
-ok AS (SELECT target FROM scored GROUP BY target HAVING count(*) >= 15 AND sum(label) BETWEEN 1 AND count(*) - 1),
+ok AS (SELECT target FROM scored GROUP BY target HAVING count(*) >= 20 AND sum(label) BETWEEN 1 AND count(*) - 1),
 lagged AS (SELECT *, round(least(p, 1 - p), 6) AS lag_score FROM scored WHERE target IN (SELECT target FROM ok)),""" + curve_sql("lagged", "target", "lag_score", "p", TENS) + """,
 st AS (SELECT target, count(*) AS n_rows, 100.0 * avg(label) AS pct_positive, avg(lag_score) AS mean_score, quantile_cont(lag_score, 0.5) AS median_score,
        100.0 * avg(CAST(lag_score < 0.2 AS INT)) AS pct_below_20, 100.0 * avg(CAST(lag_score < 0.3 AS INT)) AS pct_below_30 FROM lagged GROUP BY target)
 SELECT st.target, n_rows, round(pct_positive, 6) AS pct_positive, round(mean_score, 6) AS mean_score, round(median_score, 6) AS median_score,
   round(pct_below_20, 6) AS pct_below_20, round(pct_below_30, 6) AS pct_below_30, round(max(auc) FILTER (coverage = 100), 6) AS overall_auc,
-  round(max(auc) FILTER (coverage = 10), 6) AS auc_cov010, round(max(auc) FILTER (coverage = 50), 6) AS auc_cov050, round(max(auc) FILTER (coverage = 100), 6) AS auc_cov100
+  """ + ", ".join(f"round(max(auc) FILTER (coverage = {c}), 6) AS auc_cov{c:03d}" for c in range(10, 101, 10)) + """
 FROM st JOIN curve USING (target) GROUP BY ALL""")
 def _(spark, sf):
     rows = scored(spark, sf).withColumn("class_lag", F.round(C.class_lag("p"), 6))
-    got = D.reliability_by_target(rows, min_rows=15)
+    got = D.reliability_by_target(rows)
     return shaped(got, "target", n_rows="int", pct_positive="num", mean_score="num", median_score="num", pct_below_20="num",
-                  pct_below_30="num", overall_auc="num", auc_cov010="num", auc_cov050="num", auc_cov100="num")
+                  pct_below_30="num", overall_auc="num", **{f"auc_cov{c:03d}": "num" for c in D.coverage_grid()})
 
 
 @query("share_below", P + """,

@@ -85,6 +85,23 @@ def _(spark, sf):
         "n_first", stored.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
+@query("cached_features_change", """
+WITH t AS (SELECT doc_id AS entity, CASE WHEN doc_id % 10 = 0 THEN coalesce(text, '') || ' changed' ELSE text END AS text FROM documents WHERE text IS NOT NULL)
+SELECT entity, length(text) AS n, 128 AS size, (SELECT 2 * count(*) + count(*) FILTER (doc_id % 10 = 0) FROM documents WHERE text IS NOT NULL) AS n_stored FROM t""")
+def _(spark, sf):
+    path = fresh(spark, "features")
+    docs = table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("entity"), "text")
+    changed = docs.withColumn("text", F.when(F.col("entity") % 10 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+
+    def features(rows, size):
+        made = lambda new: new.select("entity", F.length("text").cast("bigint").alias("n"), F.lit(size).alias("size"))
+        return S.cached_features(rows, path, made, parameters={"size": size})
+
+    for rows, size in ((docs, 256), (docs, 256), (docs, 128), (changed, 128)):  # all, nothing, all, and the changed tenth are computed
+        got = features(rows, size)
+    return got.withColumn("n_stored", spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
 @query("cache_gap", """
 SELECT doc_id AS entity, 'missing' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL
 SELECT doc_id, 'stale' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")

@@ -6,9 +6,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.bindings import table
+from checks.q_models import LOGIT, rows
 from checks.registry import query, shaped
+from titerflow.models.bundles import make_bundle, save_bundle, score_stream
+from titerflow.models.linear import fit_linear
 from titerflow.operators.cutoffs import median_cutoff
-from titerflow.session import temp_table_path
+from titerflow.session import materialize, temp_table_path
 from titerflow.streaming.diversity import stream_diversity_cap, stream_labels
 
 
@@ -52,3 +55,19 @@ def _(spark, sf):
     stream = replay(spark, sf).withColumnRenamed("event_type", "target")
     got = drain(spark, stream_labels(stream, cut))
     return got.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_active"))
+
+
+@query("stream_scores", f"SELECT target, entity, p, CAST(p >= 0.5 AS INT) AS predicted, CAST(1 + CAST(entity % 4 >= 2 AS INT) AS INT) AS version FROM ({LOGIT})")
+def _(spark, sf):
+    """Four files of vectors, one per micro-batch; the bundle's second version is saved between the two halves."""
+    place = {k: temp_table_path(spark, f"{k}-{uuid.uuid4().hex}") for k in ("in", "models", "out", "state")}
+    every = rows(spark, sf)
+    settings = {"source": "embedding", "width": 64}
+    fitted = materialize(fit_linear(every, "logit", strategy="class_weight"))
+    for half in (0, 2):
+        save_bundle(make_bundle(fitted, features=settings), place["models"], "logit")
+        for part in (half, half + 1):
+            every.where(F.col("entity") % 4 == part).coalesce(1).write.mode("append").parquet(place["in"])
+        stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(place["in"])
+        score_stream(stream, place["models"], "logit", place["out"], place["state"], settings, availableNow=True).awaitTermination()
+    return shaped(spark.read.parquet(place["out"]), "target", "entity", "predicted", "version", p="num")

@@ -391,3 +391,16 @@ def test_models_and_skipped_targets_use_one_rule(spark):
     assert {r.target for r in skipped_targets(df).collect()} == {"few", "one"}
     for model in ("gaussian_nb", "knn"):
         assert {r.target for r in score_rows(df, model, strategy="sample_weight").select("target").distinct().collect()} == {"ok"}
+
+
+def test_upsampling_makes_draws_in_pieces(spark):
+    from titerflow.operators.scaling import balanced_weights, upsample
+
+    data = [("one", 0, 1)] + [("one", i, 0) for i in range(1, 400)] + [(None, 0, 1), (None, 1, 1)] + [(None, i, 0) for i in range(2, 90)] + [("even", 0, 1), ("even", 1, 0), ("none", 1, 0)]
+    rows = spark.createDataFrame(data, "target string, entity long, label int")
+    whole = upsample(rows)
+    n = {(r["target"], r["label"]): r["n"] for r in whole.groupBy("target", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert n == {("one", 1): 399, ("one", 0): 399, (None, 1): 88, (None, 0): 88, ("even", 1): 1, ("even", 0): 1, ("none", 0): 1}
+    as_rows = lambda df: sorted(map(repr, df.select("target", "entity", "label", "draw").collect()))
+    assert as_rows(whole) == as_rows(upsample(rows, piece=7))
+    assert {r["weight"] for r in balanced_weights(rows).where("target is null and label = 1").collect()} == {22.5}

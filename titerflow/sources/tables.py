@@ -1,6 +1,8 @@
 """Reading and writing measurement, matrix, result and feature tables."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,18 +117,28 @@ def cache_gap(ids: DataFrame, cached: DataFrame, key: str = "entity") -> DataFra
     return missing.unionByName(stale)
 
 
-def cached_features(rows: DataFrame, path: str, compute, key: str = "entity") -> DataFrame:
-    """Features of exactly the wanted ids; only ids missing from the cache at ``path`` are computed and added.
+def cached_features(rows: DataFrame, path: str, compute, key: str = "entity", parameters: dict | None = None, content: list[str] | None = None) -> DataFrame:
+    """Features of exactly the wanted ids; only what the cache at ``path`` lacks is computed and added.
 
-    ``compute`` maps rows to a DataFrame with ``key`` and the feature columns.
+    ``compute`` maps rows to a DataFrame with ``key`` and the feature columns.  Cached rows are found by key and by a
+    digest of ``content`` (by default all other columns, maps aside) and ``parameters``, so a changed text or setting is
+    computed again for just its rows, and going back to an earlier one finds its old row.  Of rows that repeat a key,
+    the one whose digest sorts first counts.  Null keys have no features.
     """
     spark = rows.sparkSession
+    fields = content if content is not None else [c for c, kind in rows.dtypes if c != key and "map<" not in kind and "variant" not in kind]
+    settings = json.dumps(parameters or {}, sort_keys=True, default=str)
+    text = F.to_json(F.struct(F.lit(settings).alias("_settings"), *fields), {"ignoreNullFields": "false"})
+    named = rows.where(F.col(key).isNotNull()).withColumn("_digest", F.sha2(text, 256))
+    asked = named.groupBy(key).agg(F.min("_digest").alias("_digest"))
     if path_exists(spark, path):
-        new = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
+        asked_new = asked.join(spark.read.parquet(path).select(key, "_digest"), [key, "_digest"], "left_anti")
     else:
-        new = rows
-    compute(new.dropDuplicates([key])).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(rows.select(key), key, "left_semi")
+        asked_new = asked
+    new = named.join(asked_new, [key, "_digest"], "left_semi").dropDuplicates([key])
+    made = compute(new.drop("_digest")).join(asked_new, key)
+    made.write.mode("append").parquet(path)
+    return spark.read.parquet(path).dropDuplicates([key, "_digest"]).join(asked, [key, "_digest"], "left_semi").drop("_digest")
 
 
 def to_metric_value(df: DataFrame) -> DataFrame:
