@@ -12,7 +12,7 @@ from titerflow.models.bundles import make_bundle, save_bundle, score_stream
 from titerflow.models.linear import fit_linear
 from titerflow.operators.cutoffs import median_cutoff
 from titerflow.session import materialize, temp_table_path
-from titerflow.streaming.diversity import stream_diversity_cap, stream_labels
+from titerflow.streaming.diversity import cap_stream, stream_diversity_cap, stream_labels
 
 
 def replay(spark, sf):
@@ -46,6 +46,20 @@ def _(spark, sf):
     )
 
 
+@query("stream_diversity_cap_rows", """
+SELECT event_id, event_type, score, CASE WHEN score >= 0.4 AND rk > 100 THEN 0 ELSE score END AS capped_score FROM (
+  SELECT event_id, event_type, round(value / 100.0, 6) AS score, row_number() OVER (PARTITION BY event_type, value / 100.0 >= 0.4 ORDER BY event_id % 4, event_id) AS rk FROM events)""")
+def _(spark, sf):
+    """A quarter of the events at a time, each one micro-batch; the cap counts over all of them."""
+    place = {k: temp_table_path(spark, f"{k}-{uuid.uuid4().hex}") for k in ("in", "out", "state")}
+    events = table(spark, sf, "events").select("event_id", "event_type", (F.col("value") / 100.0).alias("score"))
+    for part in range(4):
+        events.where(F.col("event_id") % 4 == part).coalesce(1).write.mode("append").parquet(place["in"])
+        stream = spark.readStream.schema(events.schema).parquet(place["in"])
+        cap_stream(stream, place["out"], place["state"], "event_type", ["event_id"], cap=100, share=2_000, availableNow=True).awaitTermination()
+    return shaped(spark.read.parquet(place["out"]), "event_id", "event_type", score="num", capped_score="num")
+
+
 @query("stream_labels", """
 WITH cut AS (SELECT event_type, quantile_cont(value, 0.5) AS threshold FROM events GROUP BY 1)
 SELECT event_type AS target, count(*) AS n, CAST(sum(CAST(value > threshold AS INT)) AS BIGINT) AS n_active FROM events JOIN cut USING (event_type) GROUP BY 1""")

@@ -404,3 +404,21 @@ def test_upsampling_makes_draws_in_pieces(spark):
     as_rows = lambda df: sorted(map(repr, df.select("target", "entity", "label", "draw").collect()))
     assert as_rows(whole) == as_rows(upsample(rows, piece=7))
     assert {r["weight"] for r in balanced_weights(rows).where("target is null and label = 1").collect()} == {22.5}
+
+
+def test_admission_of_a_batch(spark):
+    from titerflow.streaming.diversity import admit_batch
+
+    data = [("a", i, 0.9 if i % 3 else 0.1) for i in range(60)] + [(None, i, 0.5) for i in range(9)] + [("a", 5, None), ("b", 1, 0.4)]
+    batch = spark.createDataFrame(data, "g string, at int, score double").repartition(5)
+    used = spark.createDataFrame([("a", 3), ("z", 10)], "g string, used long")
+    for share in (4, 1000):
+        rows, now = admit_batch(batch, used, "g", ["at"], cap=10, share=share)
+        got = {(r["g"], r["at"], r["score"]): r["capped_score"] for r in rows.collect()}
+        good = [i for i in range(60) if i % 3]
+        want = {("a", i, 0.9): 0.9 if n < 7 else 0.0 for n, i in enumerate(good)}
+        want |= {("a", i, 0.1): 0.1 for i in range(0, 60, 3)} | {(None, i, 0.5): 0.5 for i in range(9)} | {("a", 5, None): None, ("b", 1, 0.4): 0.4}
+        assert got == want
+        assert {(r["g"], r["used"]) for r in now.collect()} == {("a", 10), (None, 9), ("b", 1)}
+    rows, now = admit_batch(batch.limit(0), used, "g", ["at"])
+    assert rows.collect() == [] and now.collect() == []
