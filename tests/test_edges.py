@@ -221,6 +221,14 @@ def test_leader_clusters_match_sequential_rule(spark):
         if i not in cluster:
             for j in [i, *neighbours[i]]:
                 cluster.setdefault(j, i)
+    # the same leaders from one group, from groups of components, and in rounds
+    sets = similarity.bit_sets(df)
+    for bound, least in ((0.4, 0), (0.75, 40)):
+        pairs = similarity.tanimoto_pairs(sets, bound)
+        whole = by_key(similarity.leader_clusters(sets, pairs), "set_id", "leader")
+        assert len(set(whole.values())) > least
+        for solved in (0, 2, 12):
+            assert by_key(similarity.leader_clusters(sets, pairs, solved), "set_id", "leader") == whole
     got = by_key(similarity.similarity_groups(df, 0.6), "entity", "cluster")
     assert got.pop(150) is None
     mine, theirs = {}, {}
