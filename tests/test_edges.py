@@ -430,3 +430,14 @@ def test_admission_of_a_batch(spark):
         assert {(r["g"], r["used"]) for r in now.collect()} == {("a", 10), (None, 9), ("b", 1)}
     rows, now = admit_batch(batch.limit(0), used, "g", ["at"])
     assert rows.collect() == [] and now.collect() == []
+
+
+def test_banded_pairs_find_nearly_all(spark):
+    rows, df = bit_frame(spark)
+    sets = similarity.bit_sets(df)
+    for bound in (0.4, 0.8, 1.0):
+        exact = {(r["a"], r["b"], r["inter"]) for r in similarity.tanimoto_pairs(sets, bound).collect()}
+        got = {(r["a"], r["b"], r["inter"]) for r in similarity.tanimoto_pairs_approx(sets, bound, block=16).collect()}
+        assert got <= exact and len(got) >= 0.9 * len(exact)
+    rows, bands = similarity.banding(0.5, 0.98)
+    assert (1 - 0.5**rows) ** bands <= 0.02
