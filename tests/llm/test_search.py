@@ -44,6 +44,12 @@ def test_contamination_is_exact(spark, documents):
                 if shared * 100 >= 80 * len(own):
                     want.add((d, i, len(own), shared))
     assert got == want and len(want) > 20
+    # one id with two texts is two items; a passage that all items share is nobody's minimum as long as there are others
+    head = prose(8, 999)
+    two = [(1, prose(40, 1) + " " + head), (1, prose(30, 2) + " " + head), (1, prose(30, 2) + " " + head), (2, prose(30, 3) + " " + head)]
+    texts = [(i, f"{head} {prose(40, 700 + i)}", "en", "a") for i in range(30)] + [(90, prose(10, 5) + " " + two[1][1], "en", "a"), (91, two[0][1], "en", "a")]
+    repeated = contaminated(documents(texts), spark.createDataFrame(two, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id, r.item_shingles) for r in repeated.collect()) == [(90, 1, 34), (91, 1, 44)]
     clean = decontaminated(docs, frame)
     assert clean.columns == docs.columns
     bad = {d for d, *_ in want}
