@@ -252,6 +252,43 @@ def test_knn_blocks_do_not_matter(spark):
         assert by_key(N.knn_probability(train, test, 5, block=block), "entity", "p") == pytest.approx(want)
 
 
+def test_knn_cells_leave_pairs_out_and_no_neighbour(spark):
+    rng = np.random.default_rng(11)
+    middles = rng.normal(0, 20, (12, 6))
+
+    def rows(n):
+        out = []
+        for i in range(n):
+            near = 0 if i % 3 == 0 else int(rng.integers(12))  # a third of the rows in one place
+            out.append(("big", i, [float(x) for x in np.round(middles[near] + rng.normal(0, 1, 6), 1)], int(rng.integers(2))))
+        copies = [("big", n + i, out[0][2], i % 2) for i in range(40)]
+        return out + copies + [("small", i, [float(i % 5)] * 6, i % 2) for i in range(30)]
+
+    shares = []
+    for n in (600, 2400):
+        data = rows(n)
+        df = frame(spark, data, "target string, entity int, v array<double>, label int")
+        train, test = df.where("entity % 5 <> 0"), df.where("entity % 5 = 0")
+        got = {(r["target"], r["entity"], r["rank"]): (r["_near"], r["label"]) for r in N.knn_neighbours(train, test, 4, block=100, pivots=40).collect()}
+        want = {}
+        for name in ("big", "small"):
+            mine = [(i, np.array(v), y) for t, i, v, y in data if t == name]
+            for i, v, _ in mine:
+                if i % 5 == 0:
+                    near = sorted((round(float(((v - w) ** 2).sum()), 9), j, y) for j, w, y in mine if j % 5)[:4]
+                    want |= {(name, i, place + 1): (j, y) for place, (_, j, y) in enumerate(near)}
+        assert got == want
+        work = N.knn_compared(train, test, 4, block=100, pivots=40).collect()
+        assert [r["target"] for r in work] == ["big"]
+        shares.append(work[0]["compared"] / work[0]["pairs"])
+    assert shares[0] < 0.6 and shares[1] < 0.4
+    flat = frame(spark, [("t", i, [1.0, 2.0], i % 2) for i in range(60)], "target string, entity int, v array<double>, label int")
+    same = N.knn_neighbours(flat.where("entity >= 20"), flat.where("entity < 20"), 3, block=10)
+    assert {(r["entity"], r["rank"]): r["_near"] for r in same.collect()} == {(i, j + 1): 20 + j for i in range(20) for j in range(3)}
+    nothing = flat.where("entity < 0")
+    assert N.knn_neighbours(nothing, flat, 3).count() == 0 and N.knn_neighbours(flat, nothing, 3, block=10).count() == 0
+
+
 def test_gaussian_nb_skips_untrainable(spark):
     rows = [("one", i, [float(i)], 1) for i in range(20)] + [("few", i, [float(i)], i % 2) for i in range(6)]
     rows += [("ok", i, [float(i % 2) + i / 100], i % 2) for i in range(20)]
