@@ -265,11 +265,11 @@ def test_knn_cells_leave_pairs_out_and_no_neighbour(spark):
         return out + copies + [("small", i, [float(i % 5)] * 6, i % 2) for i in range(30)]
 
     shares = []
-    for n in (600, 2400):
+    for n, worth in ((600, 1.0), (2400, 0.5), (600, 0.0)):
         data = rows(n)
         df = frame(spark, data, "target string, entity int, v array<double>, label int")
         train, test = df.where("entity % 5 <> 0"), df.where("entity % 5 = 0")
-        got = {(r["target"], r["entity"], r["rank"]): (r["_near"], r["label"]) for r in N.knn_neighbours(train, test, 4, block=100, pivots=40).collect()}
+        got = {(r["target"], r["entity"], r["rank"]): (r["_near"], r["label"]) for r in N.knn_neighbours(train, test, 4, block=100, pivots=40, worth=worth).collect()}
         want = {}
         for name in ("big", "small"):
             mine = [(i, np.array(v), y) for t, i, v, y in data if t == name]
@@ -281,7 +281,7 @@ def test_knn_cells_leave_pairs_out_and_no_neighbour(spark):
         work = N.knn_compared(train, test, 4, block=100, pivots=40).collect()
         assert [r["target"] for r in work] == ["big"]
         shares.append(work[0]["compared"] / work[0]["pairs"])
-    assert shares[0] < 0.6 and shares[1] < 0.4
+    assert shares[0] < 0.6 and shares[1] < 0.4  # worth only chooses the plan
     flat = frame(spark, [("t", i, [1.0, 2.0], i % 2) for i in range(60)], "target string, entity int, v array<double>, label int")
     same = N.knn_neighbours(flat.where("entity >= 20"), flat.where("entity < 20"), 3, block=10)
     assert {(r["entity"], r["rank"]): r["_near"] for r in same.collect()} == {(i, j + 1): 20 + j for i in range(20) for j in range(3)}
