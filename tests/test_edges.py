@@ -478,3 +478,27 @@ def test_banded_pairs_find_nearly_all(spark):
         assert got <= exact and len(got) >= 0.9 * len(exact)
     rows, bands = similarity.banding(0.5, 0.98)
     assert (1 - 0.5**rows) ** bands <= 0.02
+
+
+def test_report_of_little_data_says_so(spark):
+    from titerflow.plans.diagnosis import diagnose_metrics
+
+    results = "model string, target string, metric double, split string"
+    matrix = "entity int, target string, value double"
+    many = [(m, f"t{i}", 0.5, "Train_Test") for m in "ab" for i in range(4)]
+    for found, cells in (
+        ([], []),
+        ([("a", "t0", 0.5, "Train_Test")], [(1, "t0", 0.1)]),
+        (many, [(e, f"t{i}", 1.0) for e in range(5) for i in range(4)]),  # nothing varies
+        ([(None, None, None, "Train_Test")], [(None, None, None)]),
+    ):
+        rows = {r["hypothesis"]: r for r in diagnose_metrics(frame(spark, found, results), frame(spark, cells, matrix)).collect()}
+        assert len(rows) == 7
+        for name in ("H2 - data amount", "H2 - balance", "H3 - ranking", "H4 - features, variance"):
+            assert rows[name]["statistic"] == "n/a" and rows[name]["p_value"] == "n/a"
+
+
+def test_pearson_of_a_line(spark):
+    df = frame(spark, [(float(i), 2.0 * i) for i in range(5)], "a double, b double")
+    row = diagnostics.pearson(df, "a", "b").first()
+    assert row["r"] == pytest.approx(1.0) and row["p"] < 1e-9

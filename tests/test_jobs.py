@@ -59,7 +59,7 @@ def test_imbalance_strategies(spark):
 
 def test_report(spark):
     rows = contract.queries()["diagnostic_report"](spark, SF).collect()
-    assert len(rows) == 5 and all(r["statistic"] for r in rows)
+    assert len(rows) == 12 and all(r["statistic"] and r["interpretation"] for r in rows)
 
 
 def test_stream_cap_equals_batch(spark):

@@ -137,3 +137,10 @@ def weighted_product(scores: list[Column], weights: list[float]) -> Column:
 def safe_ratio(num: Column, den: Column, empty: float | None = 0.0) -> Column:
     """``num / den`` with a fixed answer for a zero denominator."""
     return F.when(den != 0, num / den).otherwise(F.lit(empty).cast("double"))
+
+
+def correlation(a: Column | str, b: Column | str) -> Column:
+    """Aggregate: Pearson r of the rows that have both; NULL where one side does not vary, in ANSI mode too."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

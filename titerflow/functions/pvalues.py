@@ -87,8 +87,11 @@ def t_quantile(p: float, df: float) -> float:
 
 
 def _each(fn, *cols: pd.Series) -> pd.Series:
-    rows = zip(*cols)
-    return pd.Series([None if any(pd.isna(v) for v in row) else fn(*map(float, row)) for row in rows], dtype="float64")
+    """``fn`` of each row; NULL where a number is missing or, last of several, the degrees of freedom are not positive."""
+    def usable(row):
+        return not any(pd.isna(v) for v in row) and (len(row) == 1 or row[-1] > 0)
+
+    return pd.Series([fn(*map(float, row)) if usable(row) else None for row in zip(*cols)], dtype="float64")
 
 
 @F.pandas_udf(DoubleType())
@@ -108,4 +111,4 @@ def p_t(t: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def t_95(df: pd.Series) -> pd.Series:
-    return _each(lambda d: t_quantile(0.975, d), df)
+    return _each(lambda _, d: t_quantile(0.975, d), df, df)

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from titerflow.functions.columns import correlation
 from titerflow.functions.pvalues import p_chi2, p_normal, p_t, t_95
 from titerflow.operators.joins import attach
 from titerflow.operators.ordering import _keys, ranked_points, running_totals, spearman
@@ -45,7 +46,7 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     )
     n = F.col("n")
     raw = 12.0 / (n * (n + 1)) * F.col("s") - 3.0 * (n + 1)
-    correction = 1.0 - F.coalesce(tie, F.lit(0.0)) / (n * n * n - n)
+    correction = 1.0 - F.try_divide(F.coalesce(tie, F.lit(0.0)), n * n * n - n)
     out = big.withColumn("h", F.when((F.col("n_groups") > 1) & (correction > 0), raw / correction))
     return out.select("n_groups", n.cast("bigint").alias("n"), "h", p_chi2("h", F.col("n_groups") - 1).alias("p"), "mean_range")
 
@@ -68,7 +69,7 @@ def wilcoxon_paired(df: DataFrame, a: str, b: str) -> DataFrame:
     return sums.withColumn("w", F.least("w_plus", "w_minus")).select(
         n.cast("bigint").alias("n"),
         "w",
-        p_normal((F.col("w") - n * (n + 1) / 4.0) / spread).alias("p"),
+        p_normal(F.try_divide(F.col("w") - n * (n + 1) / 4.0, spread)).alias("p"),
         gain.alias("mean_gain"),
     )
 
@@ -76,10 +77,11 @@ def wilcoxon_paired(df: DataFrame, a: str, b: str) -> DataFrame:
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     """Correlation, its p-value and the number of pairs."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    out = both.agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("r"))
+    out = both.agg(F.count(F.lit(1)).alias("n"), correlation(a, b).alias("r"))
     freedom = (F.col("n") - 2).cast("double")
-    t = F.col("r") * F.sqrt(freedom / (1.0 - F.col("r") * F.col("r")))
-    return out.select("n", "r", p_t(t, freedom).alias("p"))
+    rest = 1.0 - F.col("r") * F.col("r")
+    t = F.col("r") * F.sqrt(F.try_divide(freedom, rest))
+    return out.select("n", "r", F.when((rest <= 0) & (freedom > 0), 0.0).otherwise(p_t(t, freedom)).alias("p"))
 
 
 def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
@@ -97,8 +99,8 @@ def mann_whitney(df: DataFrame, flag: str, value: str) -> DataFrame:
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2.0
-    spread = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.coalesce(tie, F.lit(0.0)) / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5) / spread
+    spread = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.try_divide(F.coalesce(tie, F.lit(0.0)), n * (n - 1))))
+    z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2.0 - 0.5, spread)
     return sums.select(
         n1.cast("bigint").alias("n1"), n2.cast("bigint").alias("n2"), u.alias("u"), p_normal(z).alias("p"), "mean1", "mean2"
     )
@@ -114,9 +116,9 @@ def ttest_1samp(df: DataFrame, value: str, mu: float = 0.5, cuts: tuple[float, .
         F.max(value).alias("max"),
         *[F.avg(F.when(F.col(value).isNotNull(), (F.col(value) < c).cast("double"))).alias(f"share_below_{round(100 * c)}") for c in cuts],
     )
-    error = F.col("std") / F.sqrt(F.col("n").cast("double"))
+    error = F.try_divide(F.col("std"), F.sqrt(F.col("n").cast("double")))
     freedom = (F.col("n") - 1).cast("double")
-    with_t = stats.withColumn("t", (F.col("mean") - mu) / error)
+    with_t = stats.withColumn("t", F.try_divide(F.col("mean") - mu, error))
     half = t_95(freedom) * error
     return with_t.withColumns(
         {"p": p_t("t", freedom), "ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half}
@@ -138,7 +140,7 @@ def variance_parts(df: DataFrame, value: str = "value", entity: str = "entity",
         }
     )
     total = F.col("var_entity") + F.col("var_target") + F.col("var_residual")
-    return out.withColumns({f"pct_{k}": 100.0 * F.col(f"var_{k}") / total for k in ("entity", "target", "residual")})
+    return out.withColumns({f"pct_{k}": F.try_divide(100.0 * F.col(f"var_{k}"), total) for k in ("entity", "target", "residual")})
 
 
 def within_variance(df: DataFrame, value: str = "value", entity: str = "entity", target: str = "target") -> DataFrame:
@@ -168,7 +170,7 @@ def response_similarity(
         return F.rank().over(Window.partitionBy("draw").orderBy(col)) + (tied - 1) / 2.0
 
     ranked = both.select("draw", mean_rank("va").alias("ra"), mean_rank("vb").alias("rb"))
-    out = ranked.groupBy("draw").agg(F.count(F.lit(1)).alias("n_shared"), F.corr("ra", "rb").alias("response"))
+    out = ranked.groupBy("draw").agg(F.count(F.lit(1)).alias("n_shared"), correlation("ra", "rb").alias("response"))
     return out.where((F.col("n_shared") >= min_shared) & F.col("response").isNotNull())
 
 
@@ -184,15 +186,27 @@ def similarity_vs_response(similarity: DataFrame, response: DataFrame, by=None)
     )
 
 
-def report_row(df: DataFrame, configuration: str, hypothesis: str, test: str, statistic: Column, p: Column | None = None) -> DataFrame:
+def finding(form: str, *cols) -> Column:
+    """Numbers as text; ``n/a`` if one of them is NULL."""
+    known = F.col(cols[0]).isNotNull()
+    for c in cols[1:]:
+        known = known & F.col(c).isNotNull()
+    return F.when(known, F.format_string(form, *cols)).otherwise("n/a")
+
+
+def report_row(
+    df: DataFrame, configuration: str, hypothesis: str, test: str, statistic: Column, p: Column | None = None,
+    interpretation: Column | str = "",
+) -> DataFrame:
     """One finding as text, ready for ``diagnostic_report``."""
-    shown = F.format_string("%.4e", p) if p is not None else F.lit("n/a")
+    shown = F.when(p.isNotNull(), F.format_string("%.4e", p)).otherwise("n/a") if p is not None else F.lit("n/a")
     return df.select(
         F.lit(configuration).alias("configuration"),
         F.lit(hypothesis).alias("hypothesis"),
         F.lit(test).alias("test"),
         statistic.alias("statistic"),
         shown.alias("p_value"),
+        (F.lit(interpretation) if isinstance(interpretation, str) else interpretation).alias("interpretation"),
     )
 
 

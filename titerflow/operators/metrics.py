@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from titerflow.functions.columns import safe_ratio
+from titerflow.functions.columns import correlation, safe_ratio
 from titerflow.operators.ordering import (
     CHUNK,
     _keys,
@@ -108,7 +108,7 @@ def regression_metrics(df: DataFrame, by, truth: str = "truth", predicted: str =
         F.sum(err * err).alias("_sse"),
         F.var_pop(truth).alias("_var"),
         F.avg(F.abs(err)).alias("mae"),
-        F.corr(truth, predicted).alias("pearson"),
+        correlation(truth, predicted).alias("pearson"),
     )
     rank_corr = spearman(known, truth, predicted, by).drop("n")
     rows = moments.join(rank_corr, by, "left") if by else moments.join(rank_corr)
