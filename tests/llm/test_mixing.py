@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
-from titerflow.llm.mixing import mixed_documents, mixture, permuted
+from titerflow.llm.mixing import _mixed, mixed_documents, mixture, permuted
 
 
 def targets(sizes, weights=(5, 2, 1), limit=3):
@@ -61,3 +61,60 @@ def test_permutation(spark):
     for n in (1, 2, 7, 1000):
         got = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("bigint"), F.lit("k")).alias("p")).collect()
         assert sorted(r.p for r in got) == list(range(n))
+
+
+def spread(documents, n=300):
+    return documents([(i, prose(20 + i * 13 % 300, i), "en", ["a", "b", "c", "d", None][i % 5 if i < 150 else 0]) for i in range(n)])
+
+
+def test_taken_is_what_the_slots_hold(documents):
+    shares, slots = mixture(spread(documents), block=16, shard_slots=64)
+    got, seats = sorted(shares.collect(), key=lambda r: r.doc_id), slots.collect()
+    taken, uses = {}, {}
+    for source in {r.source for r in got}:
+        words = [(r.doc_id, k) for r in got if r.source == source for k in range(r.size)]
+        for slot in (x for x in seats if x.source == source):
+            for doc, k in words[slot.block * 16 : slot.block * 16 + 16]:
+                taken[doc] = taken.get(doc, 0) + 1
+                uses.setdefault((doc, k), []).append((slot.shard, slot.place))
+    assert {r.doc_id: r.taken for r in got if r.taken} == taken
+    for r in got:
+        for u in r.uses or ():
+            assert u.n == len(u.seats)
+            assert all(sorted(uses[r.doc_id, k]) == [tuple(x) for x in u.seats] for k in range(u.low, u.high))
+
+
+def test_shards_are_full_and_drawn(documents):
+    docs = spread(documents)
+    shares, slots = mixture(docs, block=4, shard_slots=256)
+    size, by_shard, total = 256, {}, {}
+    for r in slots.collect():
+        by_shard.setdefault(r.shard, []).append(r)
+        total[r.source] = total.get(r.source, 0) + 1
+    n, chi, free = sum(total.values()), 0.0, 0
+    for shard, rows in by_shard.items():
+        assert sorted(r.place for r in rows) == list(range(min(size, n - shard * size)))
+        for source, all_of in total.items():
+            want = len(rows) * all_of / n
+            chi += (sum(r.source == source for r in rows) - want) ** 2 / want
+        free += len(total) - 1
+    # counts scatter as draws do: neither equal shares nor far from them
+    assert sorted(by_shard) == list(range(-(-n // size))) and 0.6 * free < chi < 1.4 * free
+    for r in {(r.source, r.source_size, r.target) for r in shares.collect()}:
+        blocks = -(-r[1] // 4)  # the last one may be shorter
+        assert total[r[0]] <= 3 * blocks and abs(total[r[0]] - r[2] * blocks / r[1]) <= 0.5
+
+
+def test_documents_come_in_shard_order(documents):
+    docs = spread(documents)
+    mixed = mixed_documents(docs, block=16, shard_slots=64)
+    seats = _mixed(docs, "doc_id", "text", "source", block=16, shard_slots=64)
+    keys = {(r.doc_id, r.text): tuple(r._mix_seat) for r in seats.collect()}
+    rows = mixed.withColumn("part", F.spark_partition_id()).collect()
+    assert len(rows) == seats.count()
+    at = {}
+    for r in rows:
+        shard, place = keys[r.doc_id, r.text]
+        assert at.get(r.part, (0, -1)) <= (shard, place)
+        at[r.part] = shard, place
+    assert len({keys[r.doc_id, r.text][0] for r in rows}) > 3

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from titerflow.llm.common import written
 from titerflow.operators.ordering import row_numbers, running_totals
@@ -76,6 +77,65 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], limit: float) ->
     return table.withColumn("target", F.least("cap", F.col("w") * level)).drop("w", "cap")
 
 
+def shard_counts(sources: DataFrame, all_slots: int, shard_slots: int, bins: int = 4096) -> DataFrame:
+    """``shard, s, n, shard_size``: how many slots of each output shard fall to each source, as drawn.
+
+    Every slot of a shard draws a number below ``all_slots``; sources hold ranges of these as long as their
+    numbers of slots, so a shard's counts are one multinomial draw by the target weights.  Slots find their range by
+    a join on bins of equal width, which the draws fill evenly whatever the sources' sizes.
+    """
+    spark = sources.sparkSession
+    n_shards = -(-all_slots // shard_slots)
+    width = max(1, -(-all_slots // max(bins, sources.count())))
+    size = F.least(F.lit(shard_slots), F.lit(all_slots) - F.col("id") * shard_slots)
+    shards = spark.range(0, n_shards, 1, max(1, min(n_shards, shuffle_partitions(spark))))
+    seats = shards.select(F.col("id").alias("shard"), size.alias("shard_size"), F.explode(F.sequence(F.lit(1), size)).alias("seat"))
+    drawn = seats.withColumn("u", F.pmod(F.xxhash64(F.lit("draw"), "shard", "seat"), F.lit(max(all_slots, 1))))
+    drawn = drawn.withColumn("bin", F.floor(F.col("u") / width))
+    low, high = F.col("slot_base"), F.col("slot_base") + F.col("n_slots")
+    ranges = sources.where("n_slots > 0").select(
+        "s", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width))).alias("bin")
+    )
+    met = drawn.join(written(ranges), "bin").where("low <= u and u < high")
+    return met.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n"), F.first("shard_size").alias("shard_size"))
+
+
+def _slots(sources: DataFrame, shard_slots: int) -> DataFrame:
+    """``shard, place, s, block`` of every slot of the output, numbered from the shards' drawn counts.
+
+    All shards together draw a source some square root of its slots too often or too seldom.  The surplus slots,
+    picked by a permutation, go to the sources that fell short, so that totals are the planned ones.
+    """
+    all_slots = int(sources.agg(F.sum("n_slots")).first()[0] or 0)
+    counts = written(shard_counts(sources, all_slots, shard_slots))
+    totals = counts.groupBy("s").agg(F.sum("n").alias("drawn"))
+    told = sources.select("s", "n_blocks", "n_slots").join(totals, "s", "left").fillna(0, ["drawn"])
+    told = told.withColumns({"over": F.greatest(F.col("drawn") - F.col("n_slots"), F.lit(0)), "short": F.greatest(F.col("n_slots") - F.col("drawn"), F.lit(0))})
+    told = written(
+        running_totals(told, None, ["s"], ["over", "short"])
+        .withColumns({"over_base": F.col("cum_over") - F.col("over"), "short_base": F.col("cum_short") - F.col("short")})
+        .select("s", "n_blocks", "n_slots", "drawn", "over_base", "short", "short_base")
+    )
+    numbered = running_totals(counts, "s", ["shard"], ["n"]).withColumn("before", F.col("cum_n") - F.col("n")).drop("cum_n", "tot_n")
+    shard = Window.partitionBy("shard").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = numbered.withColumn("place_base", F.sum("n").over(shard) - F.col("n"))
+    each = numbered.join(told.drop("short", "short_base"), "s").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    number = F.col("before") + F.col("j")
+    turn = F.when(F.col("drawn") > F.col("n_slots"), permuted(number, F.col("drawn"), F.lit("keep"), F.col("s"))).otherwise(number)
+    place = permuted(F.col("place_base") + F.col("j"), F.col("shard_size"), F.lit("places"), F.col("shard"))
+    each = each.select("shard", place.alias("place"), "s", "n_blocks", "n_slots", "over_base", turn.alias("slot"))
+    parts = told.where("short > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("short") - 1) / CHUNK))))
+    low = F.col("chunk") * CHUNK
+    parts = parts.withColumn("k", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("short")) - 1)))
+    fills = parts.select((F.col("short_base") + F.col("k")).alias("moved"), "s", "n_blocks", (F.col("drawn") + F.col("k")).alias("slot"))
+    moved = each.where("slot >= n_slots").select("shard", "place", (F.col("over_base") + F.col("slot") - F.col("n_slots")).alias("moved"))
+    slots = each.where("slot < n_slots").select("shard", "place", "s", "n_blocks", "slot").unionByName(moved.join(fills, "moved").drop("moved"))
+    epoch = F.floor(F.col("slot") / F.col("n_blocks")).cast("bigint")
+    return slots.select(
+        "shard", "place", "s", permuted(F.pmod("slot", F.col("n_blocks")), F.col("n_blocks"), F.col("s"), epoch).alias("block")
+    )
+
+
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, limit, block, shard_slots):
     """The rows with their place in their source, the source table, and the slots of all shards."""
     text = F.col(text_col)
@@ -95,27 +155,11 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     sources = written(
         running_totals(sources, None, ["s"], ["n_slots"])
         .withColumn("slot_base", F.col("cum_n_slots") - F.col("n_slots"))
-        .withColumnRenamed("tot_n_slots", "all_slots")
-        .drop("cum_n_slots")
+        .drop("cum_n_slots", "tot_n_slots")
     )
     keyed = rows.join(sources.select("s", F.col("source").alias("named")), F.col("source").eqNullSafe(F.col("named"))).drop("named")
     placed = running_totals(keyed, "s", ["id", "tie"], ["size"]).withColumn("start", F.col("cum_size") - F.col("size")).drop("cum_size", "tot_size")
-    parts = (
-        sources.where("n_slots > 0")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slots") - 1) / CHUNK))))
-        .repartition(shuffle_partitions(docs.sparkSession), "s", "chunk")
-    )
-    low = F.col("chunk") * CHUNK
-    slots = parts.withColumn("slot", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("n_slots")) - 1)))
-    seat = permuted(F.col("slot_base") + F.col("slot"), F.col("all_slots"), F.lit("shards"))
-    epoch = F.floor(F.col("slot") / F.col("n_blocks")).cast("bigint")
-    slots = slots.select(
-        "s",
-        F.floor(seat / shard_slots).cast("bigint").alias("shard"),
-        F.pmod(seat, F.lit(shard_slots)).alias("place"),
-        permuted(F.pmod("slot", F.col("n_blocks")), F.col("n_blocks"), F.col("s"), epoch).alias("block"),
-    )
-    return placed, sources, slots
+    return placed, sources, _slots(sources, shard_slots)
 
 
 def _spans(placed: DataFrame, block: int) -> DataFrame:
@@ -138,27 +182,31 @@ def mixture(
     """Documents with what the mix takes of them, and the mix itself.
 
     The first frame has, per row of ``docs``: ``doc_id, size, source, source_size, target, taken`` and ``uses``,
-    word ranges with the number of times each is taken.  The second has one row per slot of the output:
-    ``shard, place, source, block``; a block is ``block`` words of its source in the order of ids.
+    word ranges with the number of times ``n`` each is taken and the ``seats`` (shard, place) it goes to.  The second
+    has one row per slot of the output: ``shard, place, source, block``; a block is ``block`` words of its source in
+    the order of ids.
 
-    The shards' source counts are multinomial draws given that all shards together use each source's number
-    of blocks: a permutation of all slots deals them out, so totals meet their targets to within half a block.
-    A source's slots run through its blocks by one permutation after another, so no block, and no document,
-    is taken more than ``limit`` times (rounded up), and reruns agree.
+    Every shard of ``shard_slots`` slots draws its source counts from a multinomial by the targets.  Free draws miss
+    totals by about the square root of a source's slots, so the few surplus slots of all shards go to the sources
+    that fell short: totals meet their targets to within half a block.  A source's slots are numbered shard by shard
+    from these counts and run through its blocks by one permutation after another, so no block, and no document, is
+    taken more than ``limit`` times (rounded up), and reruns agree.
 
     Null and blank texts have size 0 and nothing is taken of them.  A null source is a source of its own, the
     last.  Repeated rows are separate documents; null ids come first.  An empty table gives empty frames.
     """
     placed, sources, slots = _plan(docs, id_col, text_col, source_col, weights, limit, block, shard_slots)
     placed, slots = written(placed), written(slots)
-    used = slots.groupBy("s", "block").agg(F.count(F.lit(1)).alias("n"))
+    used = slots.groupBy("s", "block").agg(
+        F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("shard", "place"))).alias("seats")
+    )
     taken = (
         _spans(placed, block)
         .join(used, ["s", "block"])
         .groupBy("s", "start")
         .agg(
             F.sum((F.col("high") - F.col("low")) * F.col("n")).alias("taken"),
-            F.array_sort(F.collect_list(F.struct("low", "high", "n"))).alias("uses"),
+            F.array_sort(F.collect_list(F.struct("low", "high", "n", "seats"))).alias("uses"),
         )
         .withColumn("some", F.lit(True))
     )
@@ -172,12 +220,20 @@ def mixture(
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as documents with the columns of ``docs``: a row per document and pass over it.
+    """The mix as documents with the columns of ``docs``: a row per document and pass over it, in shard order.
 
-    Pass k holds the words taken at least k times, with the white space after them; a document taken whole
+    A row lies where the mix first takes words of its pass: a partition holds whole shards, its rows follow shard
+    and place.  Pass k holds the words taken at least k times, with the white space after them; a document taken whole
     once keeps its text but for leading blanks.  Documents of which nothing is taken go.  Rows equal in id
     and text are planned one by one and share the other columns of one of them.
     """
+    placed = _mixed(docs, id_col, text_col, source_col, **options)
+    placed = placed.repartition(shuffle_partitions(docs.sparkSession), "_mix_seat.shard")
+    return placed.sortWithinPartitions("_mix_seat", id_col).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, **options) -> DataFrame:
+    """``mixed_documents`` in no order, with each row's first seat as ``_mix_seat`` (shard, place)."""
     shares, _ = mixture(docs, id_col, text_col, source_col, **options)
     plan = shares.where("taken > 0").select(
         F.col("doc_id").alias("_mix_id"), F.col("tie").alias("_mix_tie"), F.col("uses").alias("_mix_uses")
@@ -198,7 +254,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = F.transform(
         chosen, lambda u: F.array_join(F.slice("_mix_words", (u["low"] + 1).cast("int"), (u["high"] - u["low"]).cast("int")), "")
     )
-    text = passes.withColumn(text_col, F.array_join(cut, ""))
+    seat = F.array_min(F.transform(chosen, lambda u: F.get(u["seats"], (F.col("_mix_pass") - 1).cast("int"))))
+    text = passes.withColumn("_mix_seat", seat).withColumn(text_col, F.array_join(cut, ""))
     if "n_chars" in columns:
         text = text.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return text.select(*columns)
+    return text.select(*columns, "_mix_seat")

@@ -45,7 +45,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     shares, _ = mixture(table(spark, sf_dir, "documents"), weights=(5, 2, 1), limit=3)
-    return shares.select("doc_id", "size", "source_size", "target", "taken")
+    seats = F.flatten(F.col("uses.seats"))
+    shards = F.array_distinct(F.transform(F.coalesce(seats, F.array()), lambda seat: seat["shard"]))
+    return shares.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size(shards).cast("bigint").alias("n_shards"), F.array_min(shards).alias("first_shard")
+    )
 
 
 def word_tokenizer() -> str:
