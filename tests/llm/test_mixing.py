@@ -109,12 +109,15 @@ def test_documents_come_in_shard_order(documents):
     docs = spread(documents)
     mixed = mixed_documents(docs, block=16, shard_slots=64)
     seats = _mixed(docs, "doc_id", "text", "source", block=16, shard_slots=64)
-    keys = {(r.doc_id, r.text): tuple(r._mix_seat) for r in seats.collect()}
+    keys = {}
+    for r in seats.collect():
+        keys.setdefault((r.doc_id, r.text), []).append(tuple(r._mix_seat))
     rows = mixed.withColumn("part", F.spark_partition_id()).collect()
     assert len(rows) == seats.count()
-    at = {}
+    at, shards = {}, {}
     for r in rows:
-        shard, place = keys[r.doc_id, r.text]
-        assert at.get(r.part, (0, -1)) <= (shard, place)
-        at[r.part] = shard, place
-    assert len({keys[r.doc_id, r.text][0] for r in rows}) > 3
+        seat = keys[r.doc_id, r.text]
+        if len(seat) == 1:  # passes that take the same words of a document look alike
+            assert at.get(r.part, (0, -1)) <= seat[0] and shards.setdefault(seat[0][0], r.part) == r.part
+            at[r.part] = seat[0]
+    assert len(shards) > 3
