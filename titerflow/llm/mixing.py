@@ -119,11 +119,12 @@ def _slots(sources: DataFrame, shard_slots: int) -> DataFrame:
     numbered = running_totals(counts, "s", ["shard"], ["n"]).withColumn("before", F.col("cum_n") - F.col("n")).drop("cum_n", "tot_n")
     shard = Window.partitionBy("shard").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = numbered.withColumn("place_base", F.sum("n").over(shard) - F.col("n"))
-    each = numbered.join(told.drop("short", "short_base"), "s").withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    dealt = numbered.join(told.drop("short", "short_base"), "s").repartition(shuffle_partitions(sources.sparkSession), "shard", "s")
+    each = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     number = F.col("before") + F.col("j")
     turn = F.when(F.col("drawn") > F.col("n_slots"), permuted(number, F.col("drawn"), F.lit("keep"), F.col("s"))).otherwise(number)
     place = permuted(F.col("place_base") + F.col("j"), F.col("shard_size"), F.lit("places"), F.col("shard"))
-    each = each.select("shard", place.alias("place"), "s", "n_blocks", "n_slots", "over_base", turn.alias("slot"))
+    each = written(each.select("shard", place.alias("place"), "s", "n_blocks", "n_slots", "over_base", turn.alias("slot")))
     parts = told.where("short > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("short") - 1) / CHUNK))))
     low = F.col("chunk") * CHUNK
     parts = parts.withColumn("k", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("short")) - 1)))
