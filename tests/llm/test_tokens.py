@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -5,7 +7,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.conftest import prose
 from titerflow.llm.dac import Image, build
-from titerflow.llm.tokens import WordEncoder, tokenized
+from titerflow.llm.tokens import TextEncoder, WordEncoder, encoder, is_wordwise, tokenized
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -48,3 +50,48 @@ def test_files(tricky):
 
 def test_empty_table(documents):
     assert tokenized(documents([]), PATH).collect() == []
+
+
+OTHER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def changed(tmp_path, change):
+    told = json.load(open(PATH, encoding="utf-8"))
+    change(told)
+    path = tmp_path / "changed.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    return str(path)
+
+
+@pytest.mark.parametrize(
+    "change",
+    [
+        lambda t: t["normalizer"]["normalizers"].pop(),  # keeps case
+        lambda t: t["pre_tokenizer"]["pretokenizers"][0].update(behavior="Isolated"),  # keeps white space
+        lambda t: t["added_tokens"][0].update(content="two words"),
+        lambda t: t["model"].update(end_of_word_suffix=None),
+    ],
+)
+def test_files_that_are_not_wordwise_are_told(tmp_path, change):
+    assert is_wordwise(PATH) and not is_wordwise(changed(tmp_path, change))
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path, documents):
+    assert isinstance(encoder(PATH), WordEncoder) and isinstance(encoder(OTHER), TextEncoder)
+    texts = ["Two  words\n\n and\tMORE  ", "", "x" * 3000, prose(300, 2), None, "<|endoftext|> É é 一二", " "]
+    docs = documents([(i, t, "en", "a") for i, t in enumerate(texts)])
+    cased = changed(tmp_path, lambda t: t["normalizer"]["normalizers"].pop())
+    for path in (OTHER, cased):
+        whole = Tokenizer.from_file(path)
+        want = {i: whole.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+        got = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tokenized(docs, path).collect()}
+        assert got == want
+
+
+def test_whole_texts_in_small_groups(monkeypatch):
+    monkeypatch.setattr(TextEncoder, "GROUP", 10)
+    texts = [b"", b"one", b"a longer text than a group", b"", b"x"]
+    whole = Tokenizer.from_file(OTHER)
+    ids, sizes = TextEncoder(OTHER).encode(texts)
+    want = [whole.encode(t.decode()).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]

@@ -1,6 +1,8 @@
 """Token ids of documents in directly addressable code files, and reading them back."""
 from __future__ import annotations
 
+import json
+import pathlib
 import uuid
 
 import numpy as np
@@ -19,6 +21,68 @@ POINT = np.zeros(256, bool)
 POINT[[0x2C, 0x2E]] = True
 
 
+#: What a tokenizer file must say for words to be encoded one by one; fixed values of the format.
+WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def is_wordwise(path: str) -> bool:
+    """Whether ids of a text are surely those of its words: the file folds and splits as ``WORDWISE`` says, its model
+    is a plain BPE that marks word ends, and its control strings are ``<|...`` without white space."""
+    told = json.loads(pathlib.Path(path).read_text(encoding="utf-8"))
+    model, added = told["model"], told.get("added_tokens") or []
+    return (
+        all(told.get(k) == v for k, v in WORDWISE.items())
+        and model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout")
+        and not any(model.get(k) for k in ("unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and all(a["content"].startswith("<|") and not any(c.isspace() for c in a["content"]) for a in added)
+        and not any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    )
+
+
+class TextEncoder:
+    """Encodes whole texts with any tokenizer of the library, in groups of bounded size."""
+
+    GROUP = 1 << 22
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and the number of each text."""
+        parts, group, held = [np.zeros(0, np.uint32)], [], 0
+        sizes: list[int] = []
+        for k, text in enumerate(texts):
+            group.append(text.decode("utf-8"))
+            held += len(text)
+            if held >= self.GROUP or k == len(texts) - 1:
+                for done in self.tokenizer.encode_batch_fast(group, add_special_tokens=False):
+                    parts.append(np.array(done.ids, np.uint32))
+                    sizes.append(len(done.ids))
+                group, held = [], 0
+        return np.concatenate(parts), np.array(sizes, np.int64)
+
+
 class WordEncoder:
     """Encodes texts word by word with a tokenizer that never joins across white space.
 
@@ -34,6 +98,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -125,13 +190,13 @@ class WordEncoder:
         return out
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder | TextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process and tokenizer file."""
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """One encoder per worker process and tokenizer file: by words where the file allows it, else of whole texts."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = (WordEncoder if is_wordwise(path) else TextEncoder)(path)
     return _encoders[path]
 
 
@@ -145,7 +210,8 @@ def write_tokens(
     commits them, so any store that Spark reaches will do and a lost executor only repeats its part.  Null
     ids come first, rows that repeat an id follow each other in the order of a hash of their text; a null
     text is empty and gives the end id alone.  A text is never cut: a segment ends after the document that
-    fills it.
+    fills it.  Words are encoded one by one only if the tokenizer file says that this gives the same ids
+    (``is_wordwise``), else whole texts are.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = partitions or shuffle_partitions(docs.sparkSession)
