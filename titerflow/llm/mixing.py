@@ -203,7 +203,7 @@ def mixture(
     )
     taken = (
         _spans(placed, block)
-        .join(used, ["s", "block"])
+        .join(used.hint("merge"), ["s", "block"])  # its file is small for the lists that it becomes
         .groupBy("s", "start")
         .agg(
             F.sum((F.col("high") - F.col("low")) * F.col("n")).alias("taken"),
