@@ -145,3 +145,13 @@ def test_licence_key_phrase_alone_is_found():
         frequency[key] = 9
         index = licences.build_index(licences.NOTICES, vocabulary, frequency, 4)
         assert own in licences._found(key, np.arange(len(key)), index)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(i, rng.standard_normal(16).tolist()) for i in range(600)], "vec_id bigint, embedding array<double>")
+    ask = F.col("id") % 20 == 0
+    few, report = {}, {}
+    small = nearest(frame, ask, leaf=32, sample_bytes=8 * 16 * 40, report=few).collect()
+    whole = nearest(frame, ask, leaf=32, report=report).collect()
+    assert few["depth"] < report["depth"] and sorted(small) == sorted(whole)  # every row is compared either way

@@ -199,13 +199,14 @@ def _fit_budget(
 def nearest(
     vectors: DataFrame, is_query: F.Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
     trees: int = 16, leaf: int = 512, enough: int = 40_000, sample: int = 200_000, seed: int = 11, block: int = 2048,
+    sample_bytes: int = 128 << 20,
     aim: float = 0.95, probes: int = 256, report: dict | None = None,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row where ``is_query`` (over the column ``id``) its ``k`` rows of
     largest inner product found, best first, ties to the smaller id, itself left out.
 
-    The forest's cuts are medians over about ``sample`` different vectors at most, picked by hash;
-    every row is indexed.  Inner products are searched as distances: a vector gets one more component that
+    The forest's cuts are medians over about ``sample`` different vectors, or ``sample_bytes`` of them, at most, picked
+    by hash; every row is indexed: an index row holds tree, leaf and id, vectors are kept once.  Inner products are searched as distances: a vector gets one more component that
     makes all lengths equal, a query gets 0 there.  A query's leaves are picked best first from one queue over
     all trees until they hold ``enough`` rows, counted in each tree (if there are no more, this is exact), and
     the rows in them are ranked exactly in double precision.
@@ -227,9 +228,9 @@ def nearest(
     classes = written(few.where("n = 1").select(F.col("id").alias("rep"), "v", "h"))
     ids = few.join(classes.select("rep", "h", F.col("v").alias("w")), "h").where(F.col("v") == F.col("w")).select("rep", "id")
     ids = written(ids)
-    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
+    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("k"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     longest = stats["m"] or 0.0
-    share = min(1.0, sample / max(stats["n"], 1))
+    share = min(1.0, min(sample, sample_bytes // (8 * max(stats["k"] or 1, 1))) / max(stats["n"], 1))
     picked = classes.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40))).select("v").toArrow()
     base = np.zeros((0, 1))
     if picked.num_rows:
@@ -245,11 +246,11 @@ def nearest(
             where = forest.leaves(lifted(_matrix(batch, 1)))
             for t in range(trees):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(batch.num_rows, t), pa.int32()), pa.array(where[:, t]), batch.column(0), batch.column(1)],
-                    names=["tree", "leaf", "rep", "v"],
+                    [pa.array(np.full(batch.num_rows, t), pa.int32()), pa.array(where[:, t]), batch.column(0)],
+                    names=["tree", "leaf", "rep"],
                 )
 
-    indexed = written(map_arrow(classes.select("rep", "v"), place, "tree int, leaf bigint, rep bigint, v array<double>"))
+    indexed = written(map_arrow(classes.select("rep", "v"), place, "tree int, leaf bigint, rep bigint"))
     sizes = np.zeros((trees, 2**forest.depth), np.int64)
     for r in indexed.groupBy("tree", "leaf").count().collect():  # as many as the forest has leaves
         sizes[r["tree"], r["leaf"]] = r["count"]
@@ -273,17 +274,18 @@ def nearest(
             picks = [forest.search(p[i], sizes, enough) for i in range(len(x))]
             row = np.repeat(np.arange(len(x)), [len(q) for q in picks])
             flat = [pair for q in picks for pair in q]
-            at = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([t for t, _ in flat], pa.int32()), pa.array([n for _, n in flat], pa.int64()), batch.column(0).take(at), batch.column(1).take(at)],
-                names=["tree", "leaf", "id", "v"],
+                [pa.array([t for t, _ in flat], pa.int32()), pa.array([n for _, n in flat], pa.int64()), batch.column(0).take(pa.array(row))],
+                names=["tree", "leaf", "id"],
             )
 
-    visits = written(map_arrow(asked, visit, "tree int, leaf bigint, id bigint, v array<double>"))
+    visits = written(map_arrow(asked, visit, "tree int, leaf bigint, id bigint"))
     blocks = written(visits.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")))
     parts = blocks.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("p"))
-    spread = indexed.join(parts, (indexed["tree"] == parts["t"]) & (indexed["leaf"] == parts["l"])).select("t", "l", "p", "rep", "v")
-    dealt = visits.join(blocks, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # vectors are stored once and fetched for visited leaves only
+    spread = indexed.join(parts, (indexed["tree"] == parts["t"]) & (indexed["leaf"] == parts["l"])).select("t", "l", "p", "rep")
+    spread = spread.join(classes.select("rep", "v"), "rep")
+    dealt = visits.join(asked, "id").join(blocks, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         q, c = left.combine_chunks(), right.combine_chunks()
