@@ -77,6 +77,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], limit: float) ->
     return table.withColumn("target", F.least("cap", F.col("w") * level)).drop("w", "cap")
 
 
+#: So many sources' ranges are broadcast at most: a few MB with the bins.
+SMALL = 100_000
+
+
 def shard_counts(sources: DataFrame, all_slots: int, shard_slots: int, bins: int = 4096) -> DataFrame:
     """``shard, s, n, shard_size``: how many slots of each output shard fall to each source, as drawn.
 
@@ -86,7 +90,8 @@ def shard_counts(sources: DataFrame, all_slots: int, shard_slots: int, bins: int
     """
     spark = sources.sparkSession
     n_shards = -(-all_slots // shard_slots)
-    width = max(1, -(-all_slots // max(bins, sources.count())))
+    n_sources = sources.count()
+    width = max(1, -(-all_slots // max(bins, n_sources)))
     size = F.least(F.lit(shard_slots), F.lit(all_slots) - F.col("id") * shard_slots)
     shards = spark.range(0, n_shards, 1, max(1, min(n_shards, shuffle_partitions(spark))))
     seats = shards.select(F.col("id").alias("shard"), size.alias("shard_size"), F.explode(F.sequence(F.lit(1), size)).alias("seat"))
@@ -96,7 +101,9 @@ def shard_counts(sources: DataFrame, all_slots: int, shard_slots: int, bins: int
     ranges = sources.where("n_slots > 0").select(
         "s", low.alias("low"), high.alias("high"), F.explode(F.sequence(F.floor(low / width), F.floor((high - 1) / width))).alias("bin")
     )
-    met = drawn.join(written(ranges), "bin").where("low <= u and u < high")
+    # Spark takes exploded slots for as few rows as there are shards and would send them everywhere
+    ranges = written(ranges).hint("broadcast" if n_sources <= SMALL else "merge")
+    met = drawn.join(ranges, "bin").where("low <= u and u < high")
     return met.groupBy("shard", "s").agg(F.count(F.lit(1)).alias("n"), F.first("shard_size").alias("shard_size"))
 
 
@@ -130,7 +137,7 @@ def _slots(sources: DataFrame, shard_slots: int) -> DataFrame:
     parts = parts.withColumn("k", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("short")) - 1)))
     fills = parts.select((F.col("short_base") + F.col("k")).alias("moved"), "s", "n_blocks", (F.col("drawn") + F.col("k")).alias("slot"))
     moved = each.where("slot >= n_slots").select("shard", "place", (F.col("over_base") + F.col("slot") - F.col("n_slots")).alias("moved"))
-    slots = each.where("slot < n_slots").select("shard", "place", "s", "n_blocks", "slot").unionByName(moved.join(fills, "moved").drop("moved"))
+    slots = each.where("slot < n_slots").select("shard", "place", "s", "n_blocks", "slot").unionByName(moved.join(fills.hint("merge"), "moved").drop("moved"))
     epoch = F.floor(F.col("slot") / F.col("n_blocks")).cast("bigint")
     return slots.select(
         "shard", "place", "s", permuted(F.pmod("slot", F.col("n_blocks")), F.col("n_blocks"), F.col("s"), epoch).alias("block")
