@@ -502,3 +502,35 @@ def test_pearson_of_a_line(spark):
     df = frame(spark, [(float(i), 2.0 * i) for i in range(5)], "a double, b double")
     row = diagnostics.pearson(df, "a", "b").first()
     assert row["r"] == pytest.approx(1.0) and row["p"] < 1e-9
+
+
+@pytest.mark.parametrize("t, block", [(0.4, 2000), (0.6, 16), (1.0, 7)])
+def test_whole_comparison_gives_the_pairs_of_the_filter(spark, t, block, monkeypatch):
+    rows, df = bit_frame(spark)
+    sets = similarity.bit_sets(df)
+    monkeypatch.setattr(similarity, "STRIP", 13)
+    monkeypatch.setattr(similarity, "SLICE", 5)
+    whole, filtered = ({(r["a"], r["b"], r["inter"], round(r["similarity"], 12)) for r in similarity.tanimoto_pairs(sets, t, block, share).collect()} for share in (0.0, float("inf")))
+    assert whole == filtered and (whole or t == 1.0)
+    assert {x[:3] for x in whole} == {(r["a"], r["b"], r["inter"]) for r in similarity.tanimoto_pairs_approx(sets, t, 0.9, block, share=0.0).collect()}
+    counts = [by_key(similarity.count_neighbours(sets, t, block, share), "set_id", "n_neighbours") for share in (0.0, float("inf"))]
+    assert counts[0] == counts[1]
+
+
+def test_leaders_by_heads_match_those_of_the_pairs(spark):
+    rows, df = bit_frame(spark)
+    sets = similarity.bit_sets(df)
+    for bound in (0.4, 0.75):
+        pairs = similarity.tanimoto_pairs(sets, bound)
+        want = by_key(similarity.leader_clusters(sets, pairs), "set_id", "leader")
+        for head in (3, 40, 2000):
+            assert by_key(similarity.similar_leaders(sets, bound, head, 16, 0.0), "set_id", "leader") == want
+
+
+def test_dense_sets_are_compared_in_blocks(spark):
+    rng = random.Random(5)
+    df = frame(spark, [(i, sorted(rng.sample(range(64), 32))) for i in range(300)], "entity int, bits array<int>")
+    sets = similarity.bit_sets(df)
+    assert similarity._prefixes(sets, 0.5, similarity.SHARE)[3]
+    for pairs in (similarity.tanimoto_pairs(sets, 0.5), similarity.tanimoto_pairs_approx(sets, 0.5)):
+        assert "CoGroup" in pairs._jdf.queryExecution().executedPlan().toString()
