@@ -534,3 +534,23 @@ def test_dense_sets_are_compared_in_blocks(spark):
     assert similarity._prefixes(sets, 0.5, similarity.SHARE)[3]
     for pairs in (similarity.tanimoto_pairs(sets, 0.5), similarity.tanimoto_pairs_approx(sets, 0.5)):
         assert "CoGroup" in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gram_features_of_odd_texts(spark, monkeypatch):
+    import hashlib
+    from collections import Counter
+
+    from titerflow.operators import features
+
+    texts = [None, "", "ab", "abc", "a😀b😀b😀b", "é\n" * 9, "abcabc" * 50, "".join(map(chr, range(1, 900)))]
+    df = frame(spark, list(enumerate(texts)) + [(3, "abcd")], "entity int, text string")
+    want = {(i, t): Counter(int(hashlib.md5(t[j : j + 3].encode()).hexdigest()[:8], 16) % 2048 for j in range(len(t) - 2)) for i, t in df.collect() if t is not None}
+    got = {(r["entity"], r["text"]): r["bits"] for r in features.hash_features(df, "text", portable=True).collect()}
+    assert got == {k: sorted(c) for k, c in want.items()}
+    both = Counter()
+    for (i, _), c in want.items():
+        both.update({(i, f): x for f, x in c.items()})
+    assert {(r[0], r[1]): r[2] for r in features.count_features(df, "text", portable=True).collect()} == both
+    monkeypatch.setattr(features, "CHARS", 7)  # parts of texts
+    row, feature, x = features._counted([t or "" for t in texts], 3, 2048, {})
+    assert dict(zip(zip(row.tolist(), feature.tolist()), x.tolist())) == {k: v for k, v in sum((Counter({(i, f): x for f, x in c.items()}) for (i, t), c in want.items() if t != "abcd"), Counter()).items()}
