@@ -13,6 +13,7 @@ from titerflow.models import elastic
 from titerflow.models import estimators as E
 from titerflow.models import native as N
 from titerflow.models.elastic import draw_settings
+from titerflow.models.forest import forest_predictions
 from titerflow.operators.reliability import certainty_curves, coverage_comparison, coverage_grid
 from titerflow.operators.splits import random_split
 from titerflow.operators.summaries import cv_summary
@@ -122,7 +123,12 @@ def _scored(model, **params):
     return run
 
 
-query("fit_random_forest")(_scored("rf", numTrees=100))
+@query("fit_random_forest")
+def _(spark, sf):
+    scored = forest_predictions(rows(spark, sf), "class_weight", num_trees=100)
+    return scored.select("target", "entity", "side", r("p").alias("p"))
+
+
 query("fit_boosted_trees")(_scored("gbt"))
 
 

@@ -195,3 +195,43 @@ def test_prediction_store_makes_only_what_is_missing(spark):
     assert current_predictions(changed, some, path, 3, None).count() == 240
     certain, curves, table = applicability(rows.where("target <> 'few'"), models, path, 3, None)
     assert certain.count() == 120 and table.count() == 19 and curves.where("auc is not null").count() > 0
+
+
+def test_forests_do_not_depend_on_where_rows_lie_or_nodes_are_grown(spark):
+    from titerflow.models.forest import forest_predictions
+
+    g = np.random.default_rng(3)
+    x = g.normal(size=(700, 2))
+    y = ((x[:, 0] > 0.2) ^ (x[:, 1] > 0) ^ (g.random(700) < 0.1)).astype(int)
+    rows = [(t, i, int(y[i]), "test" if i % 5 == 0 else "train", 1, x[i].tolist()) for t in ("a", None) for i in range(700 if t else 120)]
+    rows += [("few", i, i % 2, "train", 1, [0.0, 1.0]) for i in range(6)] + [("one", i, 1, "train", 1, [0.0, 1.0]) for i in range(30)]
+    rows += [("a", 900, None, "train", 1, [1.0, 1.0]), ("a", 901, 1, "train", 2, None), ("a", 902, 7, "train", 3, [0.0, 0.0])]
+    data = frame(spark, rows)
+    # both features are open to every node, so histograms over blocks and growth in one task must choose the same splits
+    whole = forest_predictions(data, num_trees=8).collect()
+    cut = forest_predictions(data.repartition(7), num_trees=8, limit=40).collect()
+    want = {(r["target"], r["entity"]): r["p"] for r in whole}
+    assert set(want) == {(r[0], r[1]) for r in rows if r[0] in ("a", None) and r[5]} and len(want) == len(whole) == len(cut)
+    assert {(r["target"], r["entity"]): r["p"] for r in cut} == pytest.approx(want, abs=1e-9)
+    judged = [r for r in whole if r["target"] == "a" and r["entity"] < 700 and r["side"] == "test"]
+    assert np.mean([(r["p"] >= 0.5) == r["label"] for r in judged]) > 0.8
+    assert forest_predictions(data.limit(0)).collect() == []
+
+
+def test_trees_choose_the_best_split():
+    from titerflow.models.forest import _best, _routed, grow
+
+    g = np.random.default_rng(5)
+    pos, neg = g.integers(0, 9, (2, 6, 3, 32)) * 1.0
+    pos[:, 1:], neg[:, 1:] = g.permuted(pos[:, :1].repeat(2, 1), axis=2), g.permuted(neg[:, :1].repeat(2, 1), axis=2)
+
+    def gini(a, b):
+        return a * b / (a + b) if a + b else 0.0
+
+    for node, (slot, at, gain) in enumerate(zip(*_best(pos, neg))):
+        gains = [[gini(p.sum(), n.sum()) - gini(p[: b + 1].sum(), n[: b + 1].sum()) - gini(p[b + 1 :].sum(), n[b + 1 :].sum()) for b in range(32)] for p, n in zip(pos[node], neg[node])]
+        assert gain == pytest.approx(np.max(gains)) and gains[slot][at] == pytest.approx(gain)
+    x, y = g.integers(0, 32, (300, 4)).astype(np.uint8), g.integers(0, 2, 300) * 1.0
+    feature, cut, left, p = grow(x, y, np.ones(300), 0, 30, 4, lambda node, n: np.tile(np.arange(4), (n, 1)))
+    alike = {tuple(r): y[(x == r).all(axis=1)].mean() for r in x}
+    assert p[_routed(x, feature, cut, left)] == pytest.approx([alike[tuple(r)] for r in x])  # grown until rows are alike
