@@ -235,3 +235,42 @@ def test_trees_choose_the_best_split():
     feature, cut, left, p = grow(x, y, np.ones(300), 0, 30, 4, lambda node, n: np.tile(np.arange(4), (n, 1)))
     alike = {tuple(r): y[(x == r).all(axis=1)].mean() for r in x}
     assert p[_routed(x, feature, cut, left)] == pytest.approx([alike[tuple(r)] for r in x])  # grown until rows are alike
+
+
+def test_lowest_values_of_a_row_with_ties():
+    from titerflow.models.native import _lowest
+
+    g = np.random.default_rng(1)
+    for n, take in ((3, 3), (200, 5), (1000, 5), (1000, 1), (1003, 40)):
+        d = np.concatenate([g.random((20, n)), g.integers(0, 3, (20, n)) * 1.0, np.zeros((1, n)), g.integers(0, 9, (5, n)) * 3e-10 + 2.0])
+        place, value = _lowest(d.copy(), take)
+        want = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :take]
+        assert (place == want).all() and (value == np.round(np.take_along_axis(d, want, 1), 9)).all()
+
+
+def test_splits_of_the_same_rows_share_models_of_folds(spark, monkeypatch):
+    from titerflow.models import estimators as E
+
+    asked = []
+
+    def noted(rows, model, folds=0, *args, **kw):
+        asked.append((model, folds))
+        return fold_predictions(rows, model, folds, *args, **kw)
+
+    monkeypatch.setattr(E, "fold_predictions", noted)
+    x, y = made(90, 4)
+    data = spark.createDataFrame([("t", i, int(y[i]), i % 3 + 1, x[i].tolist()) for i in range(90)], "target string, entity long, label int, fold int, v array<double>")
+
+    def side(by):
+        return F.when(F.col("entity") % by == 0, "test").otherwise("train")
+
+    splits = {"fives": lambda df: df.withColumn("side", side(5)), "fours": lambda df: df.withColumn("side", side(4)), "fewer": lambda df: df.where("entity < 70").withColumn("side", side(4))}
+    models = ["gaussian_nb", "knn"]
+
+    def grid(some):
+        rows = E.run_grid({"v": data}, models, {n: splits[n] for n in some}, folds=3, scaler="standard", threshold_on="test").collect()
+        return {(r["split_method"], r["model"], r["split"]): (r["tp"], r["tn"], r["fp"], r["fn"], round(r["auc"], 9)) for r in rows}
+
+    together = grid(splits)
+    assert asked == [*[(m, 3) for m in models], *[(m, 0) for m in models], *[(m, 3) for m in models]]
+    assert {k: v for k, v in together.items() if k[0] == "fours"} == grid(["fours"]) and len(together) == 3 * (2 * 5 - 1)
