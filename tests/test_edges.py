@@ -554,3 +554,25 @@ def test_gram_features_of_odd_texts(spark, monkeypatch):
     monkeypatch.setattr(features, "CHARS", 7)  # parts of texts
     row, feature, x = features._counted([t or "" for t in texts], 3, 2048, {})
     assert dict(zip(zip(row.tolist(), feature.tolist()), x.tolist())) == {k: v for k, v in sum((Counter({(i, f): x for f, x in c.items()}) for (i, t), c in want.items() if t != "abcd"), Counter()).items()}
+
+
+def test_sweep_ranks_rows_once_for_all_cutoffs(spark, monkeypatch):
+    seen = []
+
+    def noted(points, *args, **kw):
+        seen.append(points.count())
+        return ordering.running_totals(points, *args, **kw)
+
+    from titerflow.operators import ordering
+
+    monkeypatch.setattr(D, "running_totals", noted)
+    rows = [(t, i, ((i * 7 + n) % 41) / 20.0 - 1.2, ((i * 13 + n) % 10) / 10.0) for n, t in enumerate(["a", "b", "few", None]) for i in range(9 if t == "few" else 60)]
+    rows += [("a", 100, None, 0.1), ("a", 101, float("nan"), 0.1), ("a", 102, -0.8, None), *[("null", i, float(i % 2) - 1.0, None) for i in range(30)]]
+    data = spark.createDataFrame(rows, "target string, entity long, value double, p double")
+    values, preds = data.select("target", "entity", "value"), data.select("target", "entity", "p")
+    cutoffs = (0.0, -0.5, -1.1, -3.0)
+    got = {(r["cutoff"], r["coverage"]): (r["mean_auc"], r["n_valid"]) for r in D.reliability_sweep(values, preds, cutoffs).collect()}
+    assert seen == [60 + 60 + 9 + 1 + 30]
+    by_cutoff = preds.withColumn("cutoff", F.explode(F.array(*[F.lit(c) for c in cutoffs])))
+    want = {(r["cutoff"], r["coverage"]): (r["mean_auc"], r["n_valid"]) for r in D.reliability_sweep(values, by_cutoff, cutoffs).collect()}
+    assert len(seen) == 1 and got == {k: (pytest.approx(a), n) for k, (a, n) in want.items()} and {c for c, _ in got} == {0.0, -0.5, -1.1}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from titerflow.functions.columns import class_lag, std_prob
 from titerflow.operators.joins import attach
 from titerflow.operators.metrics import auc_of_points, rank_auc
-from titerflow.operators.ordering import _keys, first_rows, row_numbers
+from titerflow.operators.ordering import _keys, first_rows, row_numbers, running_totals
 from titerflow.session import materialize
 
 SCORES = ("class_lag", "cons_std", "cons_std_prob")
@@ -60,12 +60,23 @@ def auc_at_coverage(
     grid = sorted(grid or coverage_grid())
     slim = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(*by, entity, score, p, label)
     ranked = row_numbers(slim, by, [score, entity], "_rank", "_n")
+    counts = ranked.groupBy(*by, p, _first_level(grid).alias("_level")).agg(
+        F.sum(label).alias("hits"), F.count(F.lit(1)).alias("n")
+    )
+    return _auc_of_levels(counts, by, p, grid)
+
+
+def _first_level(grid: list[int]) -> Column:
+    """Number of the first level of ``grid`` that keeps row ``_rank`` of ``_n``; NULL where none does."""
     level = F.lit(None).cast("int")
     for i in reversed(range(len(grid))):
         level = F.when(F.col("_rank") <= keep_count(F.lit(grid[i]), F.col("_n")), i).otherwise(level)
-    counts = ranked.groupBy(*by, p, level.alias("_level")).agg(
-        F.sum(label).alias("hits"), F.count(F.lit(1)).alias("n")
-    ).where("_level IS NOT NULL")
+    return level
+
+
+def _auc_of_levels(counts: DataFrame, by: list[str], p: str, grid: list[int]) -> DataFrame:
+    """AUC per coverage level from ``hits`` and ``n`` per group, probability and first ``_level``."""
+    counts = counts.where("_level IS NOT NULL")
     levels = F.slice(F.array(*[F.lit(g) for g in grid]), F.col("_level") + 1, len(grid))
     points = (
         counts.withColumn("coverage", F.explode(levels))
@@ -181,18 +192,33 @@ def reliability_sweep(
 ) -> DataFrame:
     """Coverage table for every cutoff on the measured value, in one job.
 
-    ``preds`` holds ``(by, entity, p)``; with a ``cutoff`` column in it, the predictions differ by cutoff.
+    ``preds`` holds ``(by, entity, p)``; with a ``cutoff`` column in it, the predictions differ by cutoff.  Without one
+    the rows and their order are those of every cutoff: they are joined and ranked once, and only their counts per
+    (group, level, probability) are repeated for the cutoffs.
     """
-    from titerflow.functions.columns import binary_label
+    from titerflow.functions.columns import binary_label, finite
     from titerflow.operators.joins import expand_grid
 
     by = _keys(by)
+    keys = ["cutoff", *by]
+    if "cutoff" not in preds.columns:
+        grid = sorted(grid or coverage_grid())
+        rows = values.select(*by, entity, value).where(finite(value).isNotNull()).join(preds.select(*by, entity, p), [*by, entity])
+        # rows without a score count for their group's size and have no rank
+        scored = rows.withColumn("class_lag", class_lag(p)).withColumn("_one", F.col("class_lag").isNotNull().cast("int"))
+        ranked = running_totals(scored, by, [F.col("class_lag").asc_nulls_last(), entity], ["_one"])
+        ranked = ranked.withColumns({"_rank": F.when(F.col("_one") == 1, F.col("cum__one")), "_n": F.col("tot__one")})
+        hits = [F.sum(binary_label(value, c, op)).alias(f"_hits{i}") for i, c in enumerate(cutoffs)]
+        counts = materialize(ranked.groupBy(*by, p, _first_level(grid).alias("_level")).agg(F.count(F.lit(1)).alias("n"), *hits))
+        pairs = F.array(*[F.struct(F.lit(float(c)).alias("cutoff"), F.col(f"_hits{i}").alias("hits")) for i, c in enumerate(cutoffs)])
+        counts = counts.withColumn("_c", F.explode(pairs)).select(*by, p, "_level", "n", "_c.cutoff", "_c.hits")
+        sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.sum("hits").alias("n_pos"))
+        ok = sizes.where((F.col("n_rows") >= min_rows) & (F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_rows"))).select(*keys)
+        return coverage_table(_auc_of_levels(attach(counts, ok, keys, "inner"), keys, p, grid), "cutoff")
     labelled = expand_grid(values, "cutoff", [float(c) for c in cutoffs]).withColumn(
         "label", binary_label(value, F.col("cutoff"), op)
     )
-    on = [*by, entity, *(["cutoff"] if "cutoff" in preds.columns else [])]
-    rows = labelled.join(preds, on).withColumn("class_lag", class_lag(p))
-    keys = ["cutoff", *by]
+    rows = labelled.join(preds, [*by, entity, "cutoff"]).withColumn("class_lag", class_lag(p))
     ok = eligible_targets(rows, keys, "label", min_rows).select(*keys)
     kept = attach(rows, ok, keys, "inner")
     return coverage_table(auc_at_coverage(kept, keys, "class_lag", p, "label", entity, grid), "cutoff")
