@@ -113,6 +113,20 @@ def test_fold_predictions_judge_each_row_by_the_model_that_has_not_seen_it(spark
     assert missing == {(t, s) for t in ("few", "one") for s in ("Train_Test", "Fold_1", "Fold_2", "Fold_3")}
 
 
+def test_neighbours_judge_the_training_rows_of_the_split(spark):
+    x, y = made(60, 4)
+    x[7] = x[8]  # equal rows: the smaller entity is nearer
+    data = [("t", i, int(y[i]) if i != 11 else None, i % 3 + 1, "test" if i % 5 == 0 else "train", x[i].tolist()) for i in range(60)]
+    rows = spark.createDataFrame(data, "target string, entity int, label int, fold int, side string, v array<double>")
+    got = {(r["split"], r["entity"]): r["p"] for r in fold_predictions(rows, "knn", folds=3, k=3).collect()}
+    want = {}
+    for i in range(60):
+        for split, seen in (("Train_Test" if i % 5 == 0 else "Train_Train", lambda j: j % 5 != 0), (f"Fold_{i % 3 + 1}", lambda j: j % 3 != i % 3)):
+            near = sorted((round(float(((x[i] - x[j]) ** 2).sum()), 9), j) for j in range(60) if seen(j) and j != 11)[:3]
+            want[split, i] = sum(int(y[j]) for _, j in near) / 3
+    assert got == pytest.approx(want)
+
+
 def test_scalers_are_merged_from_parts(spark):
     data = [(i, [1e6 + i * 0.001, 5.0, -float(i)], "test" if i % 5 == 0 else "train", i % 4 + 1) for i in range(200)]
     features = spark.createDataFrame(data, "entity int, v array<double>, side string, fold int").repartition(7)
