@@ -127,6 +127,56 @@ def test_neighbours_judge_the_training_rows_of_the_split(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_large_targets_meet_in_blocks_and_rows_are_not_copied(spark, monkeypatch, kind):
+    from titerflow.models import crossval, meeting
+
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(0, 1, (700, 5)) + 30.0, 2)
+    x[100:160] = x[100]  # a group of equal rows
+    data = []
+    for t, n in (("big", 700), (None, 400), ("few", 30), ("tiny", 8)):
+        for i in range(n):
+            name = str(i) if kind == "string" else i
+            data.append((t, name, None if i % 50 == 7 else int(x[i, 0] > 30), i % 3 + 1, None if i == 9 else "test" if i % 5 == 0 else "train", x[i].tolist()))
+    twice = [r for r in data if r[0] == "big" and int(r[1]) in (20, 21)] + [("big", None, 1, 1, "train", x[3].tolist())]
+    schema = f"target string, entity {kind}, label int, fold int, side string, v array<double>"
+
+    def answers(rows):
+        found = fold_predictions(spark.createDataFrame(rows, schema).repartition(3), "knn", folds=3, scaler="standard", k=4)
+        return sorted(((r["target"] or "", str(r["entity"]), r["label"] is None, r["split"], r["held"], round(r["p"], 9)) for r in found.collect()))
+
+    for rows in (data, data + twice):
+        want = answers(rows)
+        with monkeypatch.context() as m:
+            m.setattr(crossval, "LARGE", 300)
+            m.setattr(meeting, "STRIP", 16)
+            m.setattr(meeting.fold_knn, "__defaults__", (64,))
+            assert answers(rows) == want and len(want) > 2000
+    monkeypatch.setattr(crossval, "LARGE", 300)
+    plan = fold_predictions(spark.createDataFrame(data, schema), "knn", folds=3, k=4)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan
+
+
+def test_nearest_by_single_precision_misses_none(spark):
+    from titerflow.models.meeting import Nearest
+
+    rng = np.random.default_rng(8)
+    for scale, shift in ((1.0, 0.0), (1e-6, 5.0), (1e3, 1e6), (1e20, 0.0)):
+        x, y = rng.normal(shift, scale, (900, 7)), rng.normal(shift, scale, (150, 7))
+        x[300:420] = x[5]
+        y[:20] = x[5]
+        found, label = Nearest(y, 6), rng.integers(0, 2, 900).astype("int32")
+        for part in np.array_split(rng.permutation(900), 4):
+            part = np.sort(part)
+            found.meet(x[part], np.ones(len(part), bool), part, label[part])
+        d = np.round(((y[:, None, :] - x[None, :, :]) ** 2).sum(-1), 9)
+        want = np.argsort(d, axis=1, kind="stable")[:, :6]
+        if scale < 1e10:
+            assert (found.entity == want).all() and (found.label == label[want]).all()
+        assert found.distance == pytest.approx(np.take_along_axis(d, want, 1), rel=1e-6, abs=1e-3 if shift > 9 else 2e-9)
+
+
 def test_scalers_are_merged_from_parts(spark):
     data = [(i, [1e6 + i * 0.001, 5.0, -float(i)], "test" if i % 5 == 0 else "train", i % 4 + 1) for i in range(200)]
     features = spark.createDataFrame(data, "entity int, v array<double>, side string, fold int").repartition(7)
@@ -288,3 +338,23 @@ def test_splits_of_the_same_rows_share_models_of_folds(spark, monkeypatch):
     together = grid(splits)
     assert asked == [*[(m, 3) for m in models], *[(m, 0) for m in models], *[(m, 3) for m in models]]
     assert {k: v for k, v in together.items() if k[0] == "fours"} == grid(["fours"]) and len(together) == 3 * (2 * 5 - 1)
+
+
+def test_settled_keeps_only_the_last_table(spark):
+    import os
+
+    from titerflow import session
+
+    first = materialize(spark.range(5))
+    paths = []
+
+    def make():
+        middle = materialize(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+        paths.append(middle.inputFiles()[0].removeprefix("file://"))
+        return middle.where("k > 2")
+
+    out = session.settled(spark, make)
+    assert out.count() == 4 and first.count() == 5 and not os.path.exists(paths[0])
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    session.release()
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in out.inputFiles())
