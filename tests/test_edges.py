@@ -517,6 +517,34 @@ def test_whole_comparison_gives_the_pairs_of_the_filter(spark, t, block, monkeyp
     assert counts[0] == counts[1]
 
 
+def test_parts_hold_each_pair_once(spark, monkeypatch):
+    rows, df = bit_frame(spark)
+    sets = similarity.bit_sets(df)
+    as_set = lambda f: {(r["a"], r["b"], r["inter"], round(r["similarity"], 12)) for r in f.collect()}
+    want = as_set(similarity.tanimoto_pairs(sets, 0.4))
+    for share in (0.0, float("inf")):
+        exact, approx = (fn(sets, 0.4, block=16, share=share, parts=3) for fn in (similarity.tanimoto_pairs, similarity.tanimoto_pairs_approx))
+        assert len(exact) == len(approx) == 3
+        exact, approx = [as_set(f) for f in exact], [as_set(f) for f in approx]
+        assert set().union(*exact) == want and sum(map(len, exact)) == len(want) and all(exact)
+        assert all(a <= e for a, e in zip(approx, exact)) and (approx == exact if share == 0 else sum(map(len, approx)) >= 0.9 * len(want))
+    assert similarity.pair_parts(sets, 0.4) == 1
+    assert similarity.pair_parts(sets, 0.4, pairs=len(want) // 4, block=20) > 1
+
+
+def test_banded_pairs_are_checked_part_by_part(spark, monkeypatch):
+    import checks.q_features as Q
+    from checks.registry import QUERIES
+
+    rng, made = random.Random(3), []
+    table = frame(spark, [(i, [rng.choice((-1.0, 1.0)) for _ in range(64)]) for i in range(120)], "vec_id int, embedding array<double>").withColumn("label", F.lit(0))
+    monkeypatch.setattr("checks.bindings.table", lambda *a: table)
+    whole = QUERIES["tanimoto_pairs_approx"](spark, "").collect()
+    monkeypatch.setattr(Q, "settled", lambda *a, fn=Q.settled: made.append(1) or fn(*a))
+    monkeypatch.setattr(similarity.pair_parts, "__defaults__", (20, 10**6, 40))
+    assert QUERIES["tanimoto_pairs_approx"](spark, "").collect() == whole and len(made) > 1 and whole[0]["n_exact"] > 20
+
+
 def test_leaders_by_heads_match_those_of_the_pairs(spark):
     rows, df = bit_frame(spark)
     sets = similarity.bit_sets(df)
